@@ -1,0 +1,12 @@
+"""Text helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def file_stem(path: Column) -> Column:
+    """File name without directory and last extension; a leading dot is part of the name."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
