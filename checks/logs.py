@@ -48,8 +48,11 @@ def event_lines(
     """``<timestamp> <type>_module user=<id> value=<number><unit>``, ordered by event_id."""
     stamp = default_stamp() if stamp is None else stamp
     line = F.concat(stamp, F.lit(" "), payload(number))
-    events = table(spark, folder, "events")
-    return lines_from_table(events, line, "event_id", source(), rows_per_block)
+    # The generator keeps filters on the line above it, so that each line is rendered once.
+    rendered = table(spark, folder, "events").select(
+        "event_id", source().alias("source"), F.explode(F.array(line)).alias("line")
+    )
+    return lines_from_table(rendered, "line", "event_id", "source", rows_per_block)
 
 
 def event_id() -> Column:

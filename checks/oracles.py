@@ -196,9 +196,11 @@ SELECT lang, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars,
     "regex_filter": text_filter("regexp_matches(line, '[a-z]+(tion|keit|ado)[,.] [A-Z]')"),
     "field_shorthand": records(RECORD, ("user", "true", "user_id")),
     "extract_ts": f"WITH {LOGS} SELECT source, event_id, ts, remainder FROM logs",
-    "extract_ts_yearless": f"""WITH {LOGS}, {LATER}
-SELECT source, event_id, make_timestamp(2025, month(ts), day(ts), hour(ts), minute(ts), second(ts)::DOUBLE) AS ts, remainder
-FROM later WHERE NOT (month(ts) = 2 AND day(ts) = 29)""",
+    "extract_ts_yearless": f"""WITH {LOGS}, {LATER},
+checked AS (SELECT *, NOT (month(ts) = 2 AND day(ts) = 29) AS good FROM later)
+SELECT source, event_id, CASE WHEN good THEN
+         make_timestamp(2025, month(ts), CASE WHEN good THEN day(ts) ELSE 1 END, hour(ts), minute(ts), second(ts)::DOUBLE)
+       END AS ts, CASE WHEN good THEN remainder END AS remainder FROM checked""",
     "extract_ts_epoch": f"""WITH {LOGS}
 SELECT source, event_id, date_trunc('second', ts) AS ts, remainder FROM logs""",
     "extract_ts_doy": f"WITH {LOGS}, {LATER} SELECT source, event_id, ts, remainder FROM later",

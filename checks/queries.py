@@ -77,11 +77,12 @@ def field_shorthand(spark, folder):
 
 def stamped(spark, folder, stamp, fmt) -> DataFrame:
     lines = extract.with_timestamp(event_lines(spark, folder, stamp), TimeFormat(fmt))
-    return lines.where(F.col("us").isNotNull()).select(
+    good = F.col("us").isNotNull()
+    return lines.select(
         "source",
         event_id().alias("event_id"),
         micros_to_ts(F.col("us")).alias("ts"),
-        F.col("rem").alias("remainder"),
+        F.when(good, F.col("rem")).alias("remainder"),
     )
 
 
@@ -227,13 +228,13 @@ SHARED_PANELS = [
 ]
 
 
-def laid_out(spark, folder, panels, per_file_panels=False, share="raw"):
-    """Bound lines with titles, and the records of all their extractions (one pass)."""
-    bound = layout.share(layout.bind(spark, panels, INPUTS, per_file_panels), share)
-    specs, sources = layout.extractions(panels, INPUTS, share)
+def laid_out(spark, folder, panels, per_file_panels=False):
+    """Bound lines and the records of all their extractions (one pass)."""
+    rows = layout.bind_rows(panels, INPUTS, per_file_panels)
+    specs, sources = layout.extractions(panels, rows)
     lines = event_lines(spark, folder)
     records = sequence.number_hits(extract.hits(lines, specs, DEFAULT, "fail", sources))
-    return layout.titles(bound, len(INPUTS)), records
+    return layout.bound_table(spark, rows), records
 
 
 def shared_records(spark, folder):
@@ -284,7 +285,7 @@ def per_file_panels(spark, folder):
 
 def line_titles(spark, folder):
     counted = bound_lines(spark, folder, per_file_panels=True)
-    heading = F.array_join("panel_titles", " / ").alias("heading")
+    heading = F.replace("panel_titles", F.lit("\n"), F.lit(" / ")).alias("heading")
     return counted.select("panel_ix", "line_ix", "title", heading, "n")
 
 
@@ -388,8 +389,7 @@ def staged_layout(spark, folder, mode, window=None):
 
 def lines_in_range(spark, folder):
     bound, records, windows = staged_layout(spark, folder, "fixed", ABSOLUTE)
-    n = layout.bound_count(RANGE_PANELS, len(INPUTS))
-    found = ranges.lines_in_range(bound, windows, records, n)
+    found = ranges.lines_in_range(bound, windows, records)
     return found.select("panel_ix", "line_ix", "source", "has_data")
 
 
@@ -398,13 +398,12 @@ def lines_in_range(spark, folder):
 
 def chart_series(spark, folder):
     bound, records = laid_out(spark, folder, RANGE_PANELS)
-    return series.chart_series(bound, records, layout.bound_count(RANGE_PANELS, len(INPUTS)))
+    return series.chart_series(bound, records)
 
 
 def chart_series_clipped(spark, folder):
     bound, records, windows = staged_layout(spark, folder, "fixed", RELATIVE)
-    n = layout.bound_count(RANGE_PANELS, len(INPUTS))
-    return series.chart_series(bound, records, n, windows)
+    return series.chart_series(bound, records, windows)
 
 
 def records_export(spark, folder):

@@ -49,6 +49,7 @@ _COMPOSITE = {
 }
 
 _TO_END = (1 << 31) - 1
+_SEPARATOR = "\x1f"
 _FRACTION = r"(?:\.(\d{1,6}+)\d*+|(?!\.))"
 _OFFSET = r"\s*+(?:[zZ]|[+-]\d{2}:?+\d{2})"
 
@@ -214,25 +215,36 @@ class TimeFormat:
         """The text the format matches at the start of the line, ``''`` if it does not."""
         return F.regexp_extract(line, self.regex, 0)
 
-    def timestamp(self, prefix: Column) -> Column:
-        """``TIMESTAMP_NTZ`` of a prefix; NULL for an empty or impossible one."""
+    def fields(self, prefix: Column) -> Column:
+        """The captured texts as an array, in one regex pass; none for an empty prefix."""
         regex, fields = self._compiled
-        if "epoch" in fields:
-            seconds = F.regexp_extract(prefix, regex, fields["epoch"]).try_cast("bigint")
-            micros = self._micros(prefix) if {"fraction", "nanos"} & fields.keys() else F.lit(0)
+        joined = _SEPARATOR.join(f"${i}" for i in sorted(fields.values()))
+        found = F.regexp_replace(prefix, F.lit(regex), F.lit(joined))
+        return F.when(prefix != "", F.split(found, _SEPARATOR, -1))
+
+    def timestamp(self, prefix: Column, fields: Column) -> Column:
+        """``TIMESTAMP_NTZ`` of a prefix and its ``fields``; NULL for an impossible one.
+
+        ``fields`` should be a column of its own, so that it is computed once.
+        """
+        names = self._compiled[1].keys()
+        if "epoch" in names:
+            seconds = self._text(fields, "epoch").try_cast("bigint")
+            fraction = {"fraction", "nanos"} & names
+            micros = self._micros(fields) if fraction else F.lit(0).cast("bigint")
             return micros_to_ts(seconds * 1_000_000 + micros)
-        simple = {"year", "month", "day", "hour", "minute", "second", "fraction"}
-        if fields.keys() <= simple:
+        if names <= {"year", "month", "day", "hour", "minute", "second", "fraction"}:
             return self._numeric_timestamp(prefix)
-        return self._general_timestamp(prefix)
+        return self._general_timestamp(fields)
 
-    def _micros(self, prefix: Column) -> Column:
-        regex, fields = self._compiled
-        if "nanos" in fields:
-            nanos = F.regexp_extract(prefix, regex, fields["nanos"]).try_cast("bigint")
-            return _int_div(F.coalesce(nanos, F.lit(0)), F.lit(1000))
-        digits = F.regexp_extract(prefix, regex, fields["fraction"])
-        return F.rpad(digits, 6, "0").try_cast("bigint")
+    def _text(self, fields: Column, name: str) -> Column:
+        return F.get(fields, self._compiled[1][name] - 1)
+
+    def _micros(self, fields: Column) -> Column:
+        if "nanos" in self._compiled[1]:
+            nanos = self._text(fields, "nanos").try_cast("bigint")
+            return _int_div(nanos, F.lit(1000))
+        return F.rpad(self._text(fields, "fraction"), 6, "0").try_cast("bigint")
 
     def _numeric_timestamp(self, prefix: Column) -> Column:
         """All fields are plain numbers: one regex rewrite to ISO text, one cast.
@@ -260,61 +272,61 @@ class TimeFormat:
             ts = F.coalesce(prefix.try_cast("timestamp_ntz"), ts)
         return ts
 
-    def _general_timestamp(self, prefix: Column) -> Column:
+    def _general_timestamp(self, fields: Column) -> Column:
         """Names, 12-hour clocks, days of the year: combine the captured fields."""
-        regex, fields = self._compiled
+        names = self._compiled[1].keys()
 
-        def text(field: str) -> Column:
-            return F.regexp_extract(prefix, regex, fields[field])
+        def number(name: str) -> Column:
+            return self._text(fields, name).try_cast("int")
 
-        def number(field: str) -> Column:
-            return text(field).try_cast("int")
+        def position(short_names: str, name: str) -> Column:
+            short = F.lower(F.left(self._text(fields, name), F.lit(3)))
+            return _int_div(F.instr(F.lit(short_names), short) + 2, F.lit(3))
 
-        def position(short_names: str, field: str) -> Column:
-            found = F.instr(F.lit(short_names), F.lower(F.left(text(field), F.lit(3))))
-            return _int_div(found + 2, F.lit(3))
-
-        if "year" in fields:
+        if "year" in names:
             year = number("year")
-        elif "year2" in fields:
+        elif "year2" in names:
             year = number("year2") + F.when(number("year2") < 70, 2000).otherwise(1900)
         else:
             year = F.lit(int(DEFAULT_YEAR))
+        year_text = F.lpad(year.cast("string"), 4, "0")
 
         if not self.has_date:
-            date = F.lit(DEFAULT_DATE)
-        elif "doy" in fields:
-            first = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-01-01")).try_cast("date")
-            day = F.date_add(first, number("doy") - 1)
-            date = F.when(F.year(day) == year, day.cast("string"))
+            date = F.lit(DEFAULT_DATE).try_cast("date")
+        elif "doy" in names:
+            first = F.concat(year_text, F.lit("-01-01")).try_cast("date")
+            days = number("doy")
+            leap = F.dayofyear(F.concat(year_text, F.lit("-12-31")).try_cast("date"))
+            date = F.when(days.between(1, leap), F.date_add(first, days - 1))
         else:
-            month = number("month") if "month" in fields else position(_SHORT_MONTHS, "month_name")
-            date = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month, number("day"))
-
-        if "hour" in fields:
+            month = number("month") if "month" in names else position(_SHORT_MONTHS, "month_name")
+            date = F.concat_ws("-", year_text, month, number("day")).try_cast("date")
+        date = self._with_weekday(date, number, position, names)
+
+        minute, second = number("minute"), number("second") if "second" in names else F.lit(0)
+        micros = self._micros(fields) if {"fraction", "nanos"} & names else F.lit(0)
+        of_hour = (minute * 60 + second).cast("bigint") * 1_000_000 + micros
+        of_hour = F.when((minute < 60) & (second < 60), of_hour)
+        afternoon = F.lower(self._text(fields, "ampm")) == "pm" if "ampm" in names else None
+        if "hour" in names:
             hour = number("hour")
-            if "ampm" in fields:
-                hour = F.when((hour >= 12) == (F.lower(text("ampm")) == "pm"), hour)
+            fits = hour < 24 if afternoon is None else (hour < 24) & ((hour >= 12) == afternoon)
         else:
-            half = F.when(F.lower(text("ampm")) == "pm", 12).otherwise(0)
-            hour = F.when(number("hour12").between(1, 12), number("hour12") % 12 + half)
-
-        second = number("second") if "second" in fields else F.lit(0)
-        clock = F.concat(hour, F.lit(":"), number("minute"), F.lit(":"), second)
-        ts = F.concat(date, F.lit(" "), clock).try_cast("timestamp_ntz")
-        if {"fraction", "nanos"} & fields.keys():
-            ts = F.timestamp_add("MICROSECOND", self._micros(prefix), ts)
-        ts = F.when(prefix != "", ts)
-
-        # A stated weekday must agree with the date.
-        weekday = F.weekday(ts)
-        if "weekday_name" in fields:
-            ts = F.when(weekday == position(_SHORT_WEEKDAYS, "weekday_name") - 1, ts)
-        if "weekday_iso" in fields:
-            ts = F.when(weekday == number("weekday_iso") - 1, ts)
-        if "weekday_sun" in fields:
-            ts = F.when((weekday + 1) % 7 == number("weekday_sun"), ts)
-        return ts
+            hour = number("hour12") % 12 + F.when(afternoon, 12).otherwise(0)
+            fits = number("hour12").between(1, 12)
+        of_day = F.when(fits, hour.cast("bigint") * 3_600_000_000 + of_hour)
+        return F.timestamp_add("MICROSECOND", of_day, date.cast("timestamp_ntz"))
+
+    @staticmethod
+    def _with_weekday(date: Column, number, position, names) -> Column:
+        """A stated weekday must agree with the date."""
+        if "weekday_name" in names:
+            date = F.when(F.weekday(date) + 1 == position(_SHORT_WEEKDAYS, "weekday_name"), date)
+        if "weekday_iso" in names:
+            date = F.when(F.weekday(date) + 1 == number("weekday_iso"), date)
+        if "weekday_sun" in names:
+            date = F.when((F.weekday(date) + 1) % 7 == number("weekday_sun"), date)
+        return date
 
     @staticmethod
     def remainder(line: Column, prefix: Column) -> Column:
@@ -323,11 +335,10 @@ class TimeFormat:
 
     def parse_literal(self, spark, text: str):
         """A timestamp given by the user in this format, as a Python datetime (driver only)."""
-        probe = spark.sql("SELECT 1").select(F.lit(text).alias("line"))
-        probe = probe.select("line", self.prefix(F.col("line")).alias("prefix"))
-        row = probe.select(
-            self.timestamp(F.col("prefix")).alias("ts"),
-            (F.length("prefix") == F.length("line")).alias("whole"),
+        line, prefix = F.lit(text), self.prefix(F.lit(text))
+        row = spark.sql("SELECT 1").select(
+            self.timestamp(prefix, self.fields(prefix)).alias("ts"),
+            (prefix == line).alias("whole"),
         ).first()
         if row.ts is None or not row.whole:
             raise ValueError(f"{text!r} does not match the timestamp format {self.text!r}")

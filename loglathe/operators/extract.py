@@ -23,13 +23,13 @@ def guarded(spec, line: Column) -> Column | None:
 
 def with_timestamp(lines: DataFrame, time_format: TimeFormat) -> DataFrame:
     """Add ``us`` (epoch microseconds, NULL for a bad timestamp) and ``rem`` (the rest of the line)."""
-    keep = [c for c in lines.columns]
-    cut = lines.select(*keep, time_format.prefix(F.col("line")).alias("prefix"))
-    prefix = F.col("prefix")
-    return cut.select(
-        *keep,
-        epoch_micros(time_format.timestamp(prefix)).alias("us"),
-        time_format.remainder(F.col("line"), prefix).alias("rem"),
+    keep = lines.columns
+    line, prefix = F.col("line"), F.col("prefix")
+    cut = lines.select(*keep, time_format.prefix(line).alias("prefix"))
+    split = cut.select(*keep, "prefix", time_format.fields(prefix).alias("fields"))
+    ts = time_format.timestamp(prefix, F.col("fields"))
+    return split.select(
+        *keep, epoch_micros(ts).alias("us"), time_format.remainder(line, prefix).alias("rem")
     )
 
 

@@ -1,72 +1,83 @@
 """Binding the lines of panels to input files.
 
-Configuration (panels, lines, input names) lives on the driver; the bound lines are a DataFrame
+The configuration (panels, lines, input names) is on the driver, and so is what follows from it
+alone: one row per (line, file), a few hundred bytes each. The result is a local relation
 
-``bound(panel_ix, line_ix, input_ix, source, kind, guard, pattern, own_id, measure, line_title,
-axis, panel_title, panel_source, range_mode)``
+``bound(panel_ix, line_ix, input_ix, source, kind, guard, pattern, own_id, spec_id, measure, title,
+axis, panel_titles, panel_source, range_mode)``
 
-with one row per (line, file). Positions follow from the position in the configuration and the
-input index by arithmetic, so no global ordering step is needed.
+which Spark joins to data-sized tables (records, ranges, counts) on ``(source, spec_id)``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.text import file_stem
 from ..sources.staging import tiny_table
 from ..spec import COUNT, DELTA, FIELD, VALUE, Line, Panel
 
-_FIELDS = {
+SHARING = ("raw", "regex")
+_SCHEMA = {
     "panel_ix": "int",
     "line_ix": "int",
+    "input_ix": "int",
+    "source": "string",
     "kind": "string",
     "guard": "string",
     "pattern": "string",
     "own_id": "string",
+    "spec_id": "string",
     "measure": "string",
-    "line_title": "string",
+    "title": "string",
     "axis": "string",
-    "panel_title": "string",
+    "panel_titles": "string",
+    "panel_source": "string",
     "range_mode": "string",
 }
+# panel_titles holds the lines of a panel's heading, separated by this.
+HEADING_SEPARATOR = "\n"
 
 
-@dataclass(frozen=True)
-class _Slot:
-    """Where a configured line goes: fixed positions plus how they move with the input index."""
-
-    panel: Panel
-    line: Line
-    panel_ix: int
-    line_ix: int
-    panel_follows_input: bool
-    line_follows_input: bool
-    every_input: bool
-
-
-def _slots(panels: Sequence[Panel], n: int, per_file_panels: bool) -> Iterator[_Slot]:
-    panel_ix = 0
-    for panel in panels:
-        copied = per_file_panels and any(not line.bound for line in panel.lines)
-        if copied:
-            # Bound lines come first in each copy, then the unbound ones.
-            ordered = [x for x in panel.lines if x.bound] + [x for x in panel.lines if not x.bound]
-            for i, line in enumerate(ordered):
-                yield _Slot(panel, line, panel_ix, i, True, False, True)
-            panel_ix += n
-        else:
-            line_ix = 0
-            for line in panel.lines:
-                yield _Slot(
-                    panel, line, panel_ix, line_ix, False, not line.bound, not line.bound
-                )
-                line_ix += 1 if line.bound else n
-            panel_ix += 1
+def bind_rows(
+    panels: Sequence[Panel],
+    inputs: Sequence[str],
+    per_file_panels: bool = False,
+    share: str = "raw",
+) -> list[dict]:
+    """Every line bound to its files, panel by panel; see :func:`bind`."""
+    if share not in SHARING:
+        raise ValueError(f"share must be one of {SHARING}")
+    rows = []
+    for panel_ix, (panel, placed, panel_source) in enumerate(
+        _expanded(panels, list(inputs), per_file_panels)
+    ):
+        for line_ix, (line, input_ix, source) in enumerate(placed):
+            spec = line.spec
+            rows.append(
+                {
+                    "panel_ix": panel_ix,
+                    "line_ix": line_ix,
+                    "input_ix": input_ix,
+                    "source": source,
+                    "kind": spec.kind,
+                    "guard": spec.guard,
+                    "pattern": spec.raw,
+                    "own_id": spec.spec_id,
+                    "spec_id": spec.spec_id,
+                    "measure": spec.measure,
+                    "title": _line_title(line, source, len(inputs)),
+                    "axis": line.yaxis,
+                    "panel_titles": _heading(panel, panel_source),
+                    "panel_source": panel_source,
+                    "range_mode": panel.range_mode,
+                }
+            )
+    if share == "raw":
+        _share(rows)
+    return rows
 
 
 def bind(
@@ -74,174 +85,89 @@ def bind(
     panels: Sequence[Panel],
     inputs: Sequence[str],
     per_file_panels: bool = False,
+    share: str = "raw",
 ) -> DataFrame:
-    """Bind every line to its files, panel by panel.
+    """Bind every line to its files.
 
     A line with a file name reads that file, also if it is no input; one with a file index reads
     that input; any other reads every input. With ``per_file_panels`` a panel with an unbound line
-    is repeated once per input.
-    """
-    inputs = list(inputs)
-    for panel in panels:
-        for line in panel.lines:
-            if line.file_name is None and line.file_id is not None:
-                if not 0 <= line.file_id < len(inputs):
-                    raise ValueError(f"file_id {line.file_id} is not one of {len(inputs)} inputs")
+    is repeated once per input, its bound lines first.
 
-    def own_source(line: Line) -> tuple[int | None, str]:
-        if line.file_name is not None:
-            return None, line.file_name
-        return line.file_id, inputs[line.file_id]
-
-    def values(slot: _Slot) -> dict:
-        spec = slot.line.spec
-        return {
-            "panel_ix": slot.panel_ix,
-            "line_ix": slot.line_ix,
-            "kind": spec.kind,
-            "guard": spec.guard,
-            "pattern": spec.raw,
-            "own_id": spec.spec_id,
-            "measure": spec.measure,
-            "line_title": slot.line.title or spec.title,
-            "axis": slot.line.yaxis,
-            "panel_title": slot.panel.title,
-            "range_mode": slot.panel.range_mode,
-        }
-
-    slots = list(_slots(panels, len(inputs), per_file_panels))
-    parts = []
-
-    spread = [slot for slot in slots if slot.every_input]
-    if spread and inputs:
-        files = tiny_table(
-            spark,
-            {"input_ix": list(range(len(inputs))), "input": inputs},
-            "input_ix int, input string",
-        )
-        input_ix, path = F.col("input_ix"), F.col("input")
-
-        def struct_of(slot: _Slot) -> Column:
-            fields = {n: F.lit(v).cast(_FIELDS[n]) for n, v in values(slot).items()}
-            if slot.panel_follows_input:
-                fields["panel_ix"] = fields["panel_ix"] + input_ix
-            if slot.line_follows_input:
-                fields["line_ix"] = fields["line_ix"] + input_ix
-            if slot.line.bound:
-                own_ix, own_path = own_source(slot.line)
-                fields["input_ix"], fields["source"] = F.lit(own_ix).cast("int"), F.lit(own_path)
-            else:
-                fields["input_ix"], fields["source"] = input_ix, path
-            fields["panel_source"] = path if slot.panel_follows_input else F.lit(None).cast("string")
-            return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-        parts.append(files.select(F.inline(F.array(*[struct_of(s) for s in spread]))))
-
-    fixed = [slot for slot in slots if not slot.every_input]
-    if fixed or not parts:
-        rows = [
-            {**values(s), "input_ix": own_source(s.line)[0], "source": own_source(s.line)[1]}
-            for s in fixed
-        ]
-        schema = {**_FIELDS, "input_ix": "int", "source": "string"}
-        columns = {n: [row[n] for row in rows] for n in schema}
-        table = tiny_table(spark, columns, ", ".join(f"{n} {t}" for n, t in schema.items()))
-        parts.append(table.withColumn("panel_source", F.lit(None).cast("string")))
-
-    bound = parts[0]
-    for part in parts[1:]:
-        bound = bound.unionByName(part)
-    return bound.select(
-        "panel_ix", "line_ix", "input_ix", "source", *list(_FIELDS)[2:], "panel_source"
-    )
-
-
-def bound_count(panels: Sequence[Panel], n_inputs: int, per_file_panels: bool = False) -> int:
-    """How many rows :func:`bind` gives."""
-    slots = _slots(panels, n_inputs, per_file_panels)
-    return sum(n_inputs if slot.every_input else 1 for slot in slots)
-
-
-def share(bound: DataFrame, mode: str = "raw") -> DataFrame:
-    """Add ``spec_id``, the extraction whose records a bound line reads.
-
-    ``raw``: count and delta lines read the records of a field line with the same guard, pattern
-    text and file, else of the first event-value line, else their own. They then count what that
-    line matches. ``regex``: only identical extractions are shared.
+    ``spec_id`` is the extraction whose records a line reads. With ``share='raw'`` count and delta
+    lines read those of a field line with the same guard, pattern text and file, else of the first
+    event-value line, else their own (and so count what that line matches). With
+    ``share='regex'`` only identical extractions are shared.
     """
-    if mode == "regex":
-        return bound.withColumn("spec_id", F.col("own_id"))
-    if mode != "raw":
-        raise ValueError("mode must be 'raw' or 'regex'")
-    same = (
-        Window.partitionBy("guard", "pattern", "source")
-        .orderBy("panel_ix", "line_ix")
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    own, kind = F.col("own_id"), F.col("kind")
-    first_field = F.first(F.when(kind == FIELD, own), ignorenulls=True).over(same)
-    first_value = F.first(F.when(kind == VALUE, own), ignorenulls=True).over(same)
-    canonical = F.coalesce(first_field, first_value, own)
-    return bound.withColumn("spec_id", F.when(kind.isin(COUNT, DELTA), canonical).otherwise(own))
-
-
-def extractions(
-    panels: Sequence[Panel], inputs: Sequence[str], mode: str = "raw"
-) -> tuple[list, dict[str, list[str] | None]]:
-    """The distinct specs to extract and, per spec id, the files it is limited to (None: inputs).
-
-    Specs whose every line reads the records of another one are left out.
-    """
-    lines = [line for panel in panels for line in panel.lines]
-    names = {line.file_name for line in lines if line.file_name is not None}
-    outside = names - set(inputs)
+    return bound_table(spark, bind_rows(panels, inputs, per_file_panels, share))
+
+
+def bound_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    columns = {name: [row[name] for row in rows] for name in _SCHEMA}
+    return tiny_table(spark, columns, ", ".join(f"{n} {t}" for n, t in _SCHEMA.items()))
+
 
-    def reach(line: Line) -> frozenset | None:
-        """Files of a line; None stands for all inputs."""
+def extractions(panels: Sequence[Panel], rows: list[dict]) -> tuple[list, dict[str, list[str]]]:
+    """The specs to extract for bound rows and, per spec id, the files it is needed on."""
+    by_id = {line.spec.spec_id: line.spec for panel in panels for line in panel.lines}
+    sources: dict[str, dict[str, None]] = {}
+    for row in rows:
+        sources.setdefault(row["spec_id"], {})[row["source"]] = None
+    return [by_id[spec_id] for spec_id in sources], {i: list(s) for i, s in sources.items()}
+
+
+def _expanded(
+    panels: Sequence[Panel], inputs: list[str], per_file_panels: bool
+) -> Iterator[tuple[Panel, list[tuple[Line, int | None, str]], str | None]]:
+    def fixed(line: Line) -> tuple[Line, int | None, str]:
         if line.file_name is not None:
-            return frozenset([line.file_name])
-        return None if line.file_id is None else frozenset([inputs[line.file_id]])
-
-    given: dict[tuple, list] = {}
-    for line in lines:
-        if line.spec.kind in (FIELD, VALUE):
-            given.setdefault((line.spec.guard, line.spec.raw), []).append(reach(line))
-
-    def served(line: Line) -> bool:
-        reaches = given.get((line.spec.guard, line.spec.raw), [])
-        mine = reach(line)
-        if mine is None:
-            return None in reaches
-        named = frozenset().union(*[r for r in reaches if r is not None])
-        if None in reaches:
-            named |= mine - outside
-        return mine <= named
-
-    specs, limits = {}, {}
-    for line in lines:
-        spec = line.spec
-        if mode == "raw" and spec.kind in (COUNT, DELTA) and served(line):
+            return line, None, line.file_name
+        if not 0 <= line.file_id < len(inputs):
+            raise ValueError(f"file_id {line.file_id} is not one of {len(inputs)} inputs")
+        return line, line.file_id, inputs[line.file_id]
+
+    for panel in panels:
+        free = [line for line in panel.lines if not line.bound]
+        if per_file_panels and free:
+            first = [fixed(line) for line in panel.lines if line.bound]
+            for i, source in enumerate(inputs):
+                yield panel, first + [(line, i, source) for line in free], source
             continue
-        specs.setdefault(spec.spec_id, spec)
-        limits.setdefault(spec.spec_id, []).append(reach(line))
-    sources = {}
-    for spec_id, reaches in limits.items():
-        named = sorted(frozenset().union(*[r for r in reaches if r is not None]))
-        if None not in reaches:
-            sources[spec_id] = named
-        elif outside:
-            sources[spec_id] = sorted(set(inputs) | set(named))
-        else:
-            sources[spec_id] = None
-    return list(specs.values()), sources
-
-
-def titles(bound: DataFrame, n_inputs: int) -> DataFrame:
-    """Add ``title`` (line) and ``panel_titles`` (lines of the panel's heading)."""
-    title = F.col("line_title")
+        placed = []
+        for line in panel.lines:
+            if line.bound:
+                placed.append(fixed(line))
+            else:
+                placed += [(line, i, source) for i, source in enumerate(inputs)]
+        yield panel, placed, None
+
+
+def _share(rows: list[dict]) -> None:
+    def same(row: dict) -> tuple:
+        return row["guard"], row["pattern"], row["source"]
+
+    canonical: dict[tuple, dict] = {}
+    for kind in (FIELD, VALUE):
+        for row in rows:
+            if row["kind"] == kind:
+                canonical.setdefault(same(row), row)
+    for row in rows:
+        if row["kind"] in (COUNT, DELTA) and same(row) in canonical:
+            row["spec_id"] = canonical[same(row)]["own_id"]
+
+
+def file_stem(path: str) -> str:
+    return PurePosixPath(path).stem
+
+
+def _line_title(line: Line, source: str, n_inputs: int) -> str:
+    title = line.spec.title if line.title is None else line.title
     if n_inputs > 1:
-        title = F.concat(title, F.lit(" ("), file_stem(F.col("source")), F.lit(")"))
-    title = F.when(F.col("axis") == "y2", F.concat(title, F.lit(" | y2"))).otherwise(title)
-    file_line = F.concat(F.lit("["), file_stem(F.col("panel_source")), F.lit("]"))
-    heading = F.array_compact(F.array(F.col("panel_title"), file_line))
-    return bound.withColumn("title", title).withColumn("panel_titles", heading)
+        title = f"{title} ({file_stem(source)})"
+    return f"{title} | y2" if line.yaxis == "y2" else title
+
+
+def _heading(panel: Panel, panel_source: str | None) -> str:
+    parts = [] if panel.title is None else [panel.title]
+    if panel_source is not None:
+        parts.append(f"[{file_stem(panel_source)}]")
+    return HEADING_SEPARATOR.join(parts)

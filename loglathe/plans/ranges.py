@@ -159,9 +159,7 @@ def align(
     return panels.select("panel_ix", "range_mode", "start", "end")
 
 
-def lines_in_range(
-    bound: DataFrame, windows: DataFrame, records: DataFrame, n_bound: int | None = None
-) -> DataFrame:
+def lines_in_range(bound: DataFrame, windows: DataFrame, records: DataFrame) -> DataFrame:
     """``(panel_ix, line_ix, source, spec_id, has_data)``: any record with start <= ts < end?
 
     The lines' windows go to the records, not the records to the lines; each task reduces what it
@@ -171,7 +169,10 @@ def lines_in_range(
     windowed = keyed.join(windows.select("panel_ix", "start", "end"), "panel_ix", "left")
     ts = F.col("ts")
     inside = attach(
-        records.select("source", "spec_id", "ts"), windowed, ["source", "spec_id"], rows=n_bound
+        records.select("source", "spec_id", "ts"),
+        windowed,
+        ["source", "spec_id"],
+        rows=bound.count(),
     ).where((ts >= F.col("start")) & (ts < F.col("end")))
     present = inside.groupBy("panel_ix", "line_ix").agg(F.lit(True).alias("has_data"))
     joined = keyed.join(present, ["panel_ix", "line_ix"], "left")

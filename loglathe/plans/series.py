@@ -9,12 +9,9 @@ from ..operators.joins import attach
 
 
 def chart_series(
-    bound: DataFrame,
-    records: DataFrame,
-    n_bound: int | None = None,
-    windows: DataFrame | None = None,
+    bound: DataFrame, records: DataFrame, windows: DataFrame | None = None
 ) -> DataFrame:
-    """The points of every bound line (with ``spec_id`` and ``title``) that has any.
+    """The points of every bound line that has any.
 
     ``y`` is the value, the running count or the delta, the first delta being 0. With ``windows``
     (one row per panel) only points with start <= ts <= end are kept, both ends included.
@@ -26,7 +23,7 @@ def chart_series(
         records.select("source", "spec_id", "ts", "value", "count", "delta"),
         lines,
         ["source", "spec_id"],
-        rows=n_bound,
+        rows=bound.count(),
     )
     if windows is not None:
         ts = F.col("ts")
