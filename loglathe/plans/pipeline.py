@@ -1,0 +1,129 @@
+"""Whole pipelines over log files: preview, cat, stat, graph."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.timestamps import TimeFormat
+from ..operators import extract, sequence, stats
+from ..sources.lines import read_log_files, source_name
+from ..sources.staging import stage
+from ..spec import DELTA, FIELD, Panel
+from . import layout, ranges, series
+
+
+def read_series(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    specs: Sequence,
+    time_format: TimeFormat = TimeFormat(),
+    bad_timestamps: str = "fail",
+    **options,
+) -> DataFrame:
+    """Records of all specs on all files, in one pass over the files."""
+    lines = read_log_files(spark, paths, **options)
+    return sequence.number_hits(extract.hits(lines, specs, time_format, bad_timestamps))
+
+
+def match_preview(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    spec,
+    time_format: TimeFormat = TimeFormat(),
+    count: int = 5,
+) -> DataFrame:
+    """What becomes of the first guard-passing lines; see :func:`extract.preview`."""
+    return extract.preview(read_log_files(spark, paths), spec, time_format, count)
+
+
+def _measurable(spec) -> None:
+    if spec.kind not in (FIELD, DELTA):
+        raise ValueError("cat and stat take a field value or an event delta")
+
+
+def cat(spark: SparkSession, paths: str | Sequence[str], spec, **reading) -> DataFrame:
+    """The measured numbers with their position: ``source, spec_id, count, value``."""
+    _measurable(spec)
+    return sequence.values_of(read_series(spark, paths, [spec], **reading), spec.measure)
+
+
+@dataclass(frozen=True)
+class Statistics:
+    summary: DataFrame
+    quantiles: DataFrame
+    histogram: DataFrame
+
+
+def stat(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    spec,
+    buckets: int = stats.BUCKETS,
+    mode: str = "padded",
+    **reading,
+) -> Statistics:
+    """Summary, quantiles and histogram per file. The logs are read once."""
+    values = stage(cat(spark, paths, spec, **reading), "values")
+    return Statistics(
+        stats.summary(values), stats.quantiles(values), stats.histogram(values, buckets, mode=mode)
+    )
+
+
+@dataclass(frozen=True)
+class Graph:
+    """``lines``: bound lines with range and number of records; ``windows``: one per panel."""
+
+    lines: DataFrame
+    records: DataFrame
+    windows: DataFrame
+    series: DataFrame
+
+
+def graph(
+    spark: SparkSession,
+    panels: Sequence[Panel],
+    inputs: Sequence[str],
+    per_file_panels: bool = False,
+    share: str = "raw",
+    alignment: str = "shared-full",
+    window: ranges.Fractions | ranges.Instants | None = None,
+    clip: bool = True,
+    **reading,
+) -> Graph:
+    """Bind the panels to the files, extract, align the time windows, give the series to draw.
+
+    The records are stored once; ranges and series read them from there. A ``window`` implies
+    alignment ``fixed``.
+    """
+    inputs = [source_name(spark, path) for path in inputs]
+    panels = [
+        replace(
+            panel,
+            lines=[
+                line if line.file_name is None
+                else replace(line, file_name=source_name(spark, line.file_name))
+                for line in panel.lines
+            ],
+        )
+        for panel in panels
+    ]
+    rows = layout.bind_rows(panels, inputs, per_file_panels, share)
+    specs, sources = layout.extractions(panels, rows)
+    files = list(dict.fromkeys(row["source"] for row in rows))
+    limits = {i: None if len(names) == len(files) else names for i, names in sources.items()}
+    time_format = reading.pop("time_format", TimeFormat())
+    bad_timestamps = reading.pop("bad_timestamps", "fail")
+    lines = read_log_files(spark, files, **reading)
+    found = extract.hits(lines, specs, time_format, bad_timestamps, limits)
+    records = stage(sequence.number_hits(found), "records")
+
+    bound = layout.bound_table(spark, rows)
+    ranged = stage(ranges.bound_line_ranges(bound, ranges.line_ranges(records)), "lines")
+    ranges.global_range(ranged).collect()  # an error if there is no record at all
+    mode = alignment if window is None else "fixed"
+    windows = stage(ranges.align(ranges.panel_ranges(ranged), mode, window), "windows")
+    points = series.chart_series(bound, records, windows if clip else None)
+    return Graph(ranged, records, windows, points)

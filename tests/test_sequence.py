@@ -1,0 +1,48 @@
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from loglathe.operators.sequence import number_hits
+
+
+def make_hits(spark, seed, n=400, block=7):
+    """A hot series with most of the rows, blocks without hits, out-of-order times, gaps."""
+    rng = random.Random(seed)
+    rows = []
+    for source, spec, size in (("hot", "a", n), ("hot", "b", 20), ("cold", "a", 5), ("lone", "a", 1)):
+        places = sorted(rng.sample(range(n * 3), size))
+        for place in places:
+            value = None if rng.random() < 0.2 else rng.random()
+            rows.append((source, spec, place // block, place % block, rng.randrange(10**9), value))
+    rng.shuffle(rows)
+    schema = "source string, spec_id string, block bigint, seq bigint, us bigint, value double"
+    frame = spark.createDataFrame(rows, schema)
+    keys = ["source", "spec_id", "block", "seq"]
+    return frame.select(
+        *[F.coalesce(k, F.lit("" if k in keys[:2] else 0).cast(frame.schema[k].dataType)).alias(k) for k in keys],
+        "us", "value",
+    )
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_one_window_per_series(spark, seed):
+    hits = make_hits(spark, seed)
+    whole = Window.partitionBy("source", "spec_id").orderBy("block", "seq")
+    naive = hits.select(
+        "source", "spec_id", "block", "seq", "value",
+        F.row_number().over(whole).cast("bigint").alias("count"),
+        F.expr("(us - lag(us) over (partition by source, spec_id order by block, seq)) div 1000")
+        .cast("double").alias("delta"),
+    ).where("value is not null")
+    got = number_hits(hits).drop("ts")
+    assert got.exceptAll(naive).isEmpty() and naive.exceptAll(got).isEmpty()
+
+
+def test_blocks_are_shuffled_once_and_no_series_in_one_task(spark):
+    records = number_hits(make_hits(spark, 3))
+    records.collect()
+    plan = records._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+    assert "SinglePartition" not in plan
