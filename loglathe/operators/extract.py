@@ -85,8 +85,9 @@ def hits(
 
     One pass over the lines serves all specs. ``value`` is NULL when the captured text is no
     number: such a hit still counts as a match. With ``bad_timestamps='fail'`` the guard-passing
-    lines without a timestamp stay in the result with ``us`` NULL, for the later check of their
-    number; with ``'ignore'`` they are dropped here. ``sources`` limits a spec to some sources.
+    lines without a timestamp stay in the result, for the later check of their number: ``us`` is
+    NULL and ``block`` is turned negative, which keeps them apart from the matches of the block.
+    With ``'ignore'`` they are dropped here. ``sources`` limits a spec to some sources.
     """
     if bad_timestamps not in BadTimestamps:
         raise ValueError(f"bad_timestamps must be one of {BadTimestamps}")
@@ -149,7 +150,12 @@ def hits(
         "us",
         *[f"hit.{name}" for name, _ in _READING],
     )
-    return matches.select("source", "spec_id", "block", "seq", "us", value_of().alias("value"))
+    block = F.col("block")
+    if keep_bad:
+        block = F.when(us.isNull(), -1 - block).otherwise(block)
+    return matches.select(
+        "source", "spec_id", block.alias("block"), "seq", "us", value_of().alias("value")
+    )
 
 
 def audit(lines: DataFrame, specs: Sequence, time_format: TimeFormat) -> DataFrame:

@@ -30,17 +30,16 @@ def number_hits(hits: DataFrame) -> DataFrame:
     timestamps than tolerated (rows with ``us`` NULL, see :func:`extract.hits`).
     """
     placed = hits.repartition(*_BLOCK)
-    us, stamped = F.col("us"), F.col("us").isNotNull()
+    us = F.col("us")
 
     local = Window.partitionBy(*_BLOCK).orderBy("seq")
-    so_far = local.rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.select(
         *_BLOCK,
         "seq",
         "us",
         "value",
-        F.count("us").over(local.rowsBetween(Window.unboundedPreceding, 0)).alias("position"),
-        F.last("us", ignorenulls=True).over(so_far).alias("previous_us"),
+        F.row_number().over(local).alias("position"),
+        F.lag("us").over(local).alias("previous_us"),
     )
 
     earlier = (
@@ -53,7 +52,7 @@ def number_hits(hits: DataFrame) -> DataFrame:
             F.count("us").alias("n"),
             F.count("value").alias("n_values"),
             F.count_if(us.isNull()).alias("n_bad"),
-            F.max_by("us", F.when(stamped, F.col("seq"))).alias("last_us"),
+            F.max_by("us", "seq").alias("last_us"),
         )
         .select(
             *_BLOCK,

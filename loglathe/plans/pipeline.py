@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.timestamps import TimeFormat
 from ..operators import extract, sequence, stats
+from ..operators.joins import attach
 from ..sources.lines import read_log_files, source_name
 from ..sources.staging import stage
 from ..spec import DELTA, FIELD, Panel
 from . import layout, ranges, series
 
+# A spec limited to more files than this is filtered by a join instead of a list in the plan.
+_LISTED_FILES = 1000
+
 
 def read_series(
     spark: SparkSession,
@@ -113,14 +117,18 @@ def graph(
     rows = layout.bind_rows(panels, inputs, per_file_panels, share)
     specs, sources = layout.extractions(panels, rows)
     files = list(dict.fromkeys(row["source"] for row in rows))
-    limits = {i: None if len(names) == len(files) else names for i, names in sources.items()}
+    partial = {i: names for i, names in sources.items() if len(names) < len(files)}
+    limits = {i: names for i, names in partial.items() if len(names) <= _LISTED_FILES}
     time_format = reading.pop("time_format", TimeFormat())
     bad_timestamps = reading.pop("bad_timestamps", "fail")
     lines = read_log_files(spark, files, **reading)
     found = extract.hits(lines, specs, time_format, bad_timestamps, limits)
+    bound = layout.bound_table(spark, rows)
+    if len(limits) < len(partial):
+        needed = bound.select("source", "spec_id").distinct()
+        found = attach(found, needed, ["source", "spec_id"], "left_semi", rows=len(rows))
     records = stage(sequence.number_hits(found), "records")
 
-    bound = layout.bound_table(spark, rows)
     ranged = stage(ranges.bound_line_ranges(bound, ranges.line_ranges(records)), "lines")
     ranges.global_range(ranged).collect()  # an error if there is no record at all
     mode = alignment if window is None else "fixed"

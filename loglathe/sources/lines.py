@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1 << 16
 _POSITION_BITS = 40
+# monotonically_increasing_id() has the row number within the task in its lower bits.
+_ROW_BITS = 33
 
 
 def source_name(spark: SparkSession, path: str) -> str:
@@ -36,20 +38,25 @@ def read_log_files(spark: SparkSession, paths: str | Sequence[str], **options) -
     """Lines of text files, directories or globs.
 
     A line ends with ``\\n``; one trailing ``\\r`` is dropped. Uncompressed files are split at the
-    usual split size and every split is a block; a gzip file is a single block and a single task.
-    Undecodable bytes are replaced and reading goes on. ``options`` go to the reader
+    usual split size; a gzip file is read by a single task. A block is a run of lines of one split:
+    its number is the split's byte offset plus the row number in the task div 65536, which stays
+    below the offset of the file's next split because a task never has more rows than such a split
+    has bytes. Undecodable bytes are replaced and reading goes on. ``options`` go to the reader
     (``recursiveFileLookup``, ``pathGlobFilter``, ``modifiedAfter``, ...).
     """
     raw = spark.read.options(**options).text([paths] if isinstance(paths, str) else list(paths),
                                              lineSep="\n")
     others = [c for c in raw.columns if c != "value"]
-    return raw.select(
+    placed = raw.select(
         _decoded_path().alias("source"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("seq"),
         _without_cr(F.col("value")).alias("line"),
         *others,
     )
+    row = F.col("seq").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    block = F.col("start") + F.call_function("div", row, F.lit(ROWS_PER_BLOCK))
+    return placed.select("source", block.alias("block"), "seq", "line", *others)
 
 
 def log_file_versions(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:

@@ -130,6 +130,17 @@ def test_graph(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "series")).count() == len(points)
 
 
+def test_graph_with_many_files_per_spec(spark, tmp_path, monkeypatch):
+    paths = demo_logs(tmp_path)
+    panels = [ll.Panel([ll.Line(ll.FieldValue("x"), file_id=0), ll.Line(ll.EventCount("x"))])]
+    listed = ll.graph(spark, panels, paths).records
+    monkeypatch.setattr("loglathe.plans.pipeline._LISTED_FILES", 0)
+    joined = ll.graph(spark, panels, paths).records
+    assert listed.exceptAll(joined).isEmpty() and joined.exceptAll(listed).isEmpty()
+    assert {r.n for r in joined.groupBy("source", "spec_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {20}
+    assert joined.select("source", "spec_id").distinct().count() == 3
+
+
 def test_records_survive_storage(spark, tmp_path):
     paths = demo_logs(tmp_path)
     specs = [ll.FieldValue("x", guard="om_module"), ll.EventDelta("SOME_EVENT")]
