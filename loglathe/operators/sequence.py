@@ -7,7 +7,8 @@ joined. Blocks are bounded, so the work spreads however unevenly the sources are
 
 Both sides read the same shuffle (``ReusedExchange``), so the lines are scanned once. That needs
 both sides to use the same columns, which they do: the summary counts timestamps and values, and
-blocks without a single value are left out of the join.
+blocks without a single value are left out of the join. The summary is run through the same scheme
+again, in spans of blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .extract import TOLERATED_BAD_TIMESTAMPS
 
 _SERIES = ["source", "spec_id"]
 _BLOCK = [*_SERIES, "block"]
+_SPAN = [*_SERIES, "span"]
+_SPAN_BITS = 16
 
 
 def number_hits(hits: DataFrame) -> DataFrame:
@@ -42,43 +45,28 @@ def number_hits(hits: DataFrame) -> DataFrame:
         F.lag("us").over(local).alias("previous_us"),
     )
 
-    earlier = (
-        Window.partitionBy(*_SERIES).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    bad = F.sum("n_bad").over(Window.partitionBy(*_SERIES))
-    before = (
-        placed.groupBy(*_BLOCK)
-        .agg(
-            F.count("us").alias("n"),
-            F.count("value").alias("n_values"),
-            F.count_if(us.isNull()).alias("n_bad"),
-            F.max_by("us", "seq").alias("last_us"),
-        )
-        .select(
-            *_BLOCK,
-            "n_values",
-            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
-            F.last("last_us", ignorenulls=True).over(earlier).alias("carried_us"),
-            bad.alias("bad_in_series"),
-        )
-        .where(
-            F.assert_true(
-                F.col("bad_in_series") <= TOLERATED_BAD_TIMESTAMPS,
-                F.concat(
-                    F.lit("timestamp extraction failed for "),
-                    F.col("bad_in_series").cast("string"),
-                    F.lit(" lines of "),
-                    F.col("source"),
-                ),
-            ).isNull()
-        )
-        .where(F.col("n_values") > 0)
-        .drop("n_values", "bad_in_series")
+    blocks = placed.groupBy(*_BLOCK).agg(
+        F.count("us").alias("n"),
+        F.count("value").alias("n_values"),
+        F.count_if(us.isNull()).alias("n_bad"),
+        F.max_by("us", "seq").alias("last_us"),
     )
+    before = _before_blocks(blocks)
 
-    joined = inside.join(before, _BLOCK)
+    # One condition, so that no part of it is moved below the join: a row with a bad timestamp
+    # meets the number of its kind here and raises or is dropped.
+    tolerated = F.assert_true(
+        F.col("bad") <= TOLERATED_BAD_TIMESTAMPS,
+        F.concat(
+            F.lit("timestamp extraction failed for "),
+            F.col("bad").cast("string"),
+            F.lit(" lines of "),
+            F.col("source"),
+        ),
+    )
+    kept = F.when(us.isNull(), tolerated.isNotNull()).otherwise(F.col("value").isNotNull())
     previous = F.coalesce("previous_us", "carried_us")
-    return joined.where(F.col("value").isNotNull()).select(
+    return inside.join(before, _BLOCK).where(kept).select(
         *_BLOCK,
         "seq",
         micros_to_ts(floor_millis(us)).alias("ts"),
@@ -88,6 +76,62 @@ def number_hits(hits: DataFrame) -> DataFrame:
     )
 
 
+def _before_blocks(blocks: DataFrame) -> DataFrame:
+    """Per block: ``offset`` matches before it, ``carried_us`` of the last of them, and ``bad``,
+    the bad timestamps of the series. Blocks with neither a value nor a bad timestamp are left out.
+
+    The same two steps once more, with spans of 65 536 consecutive block numbers: however many
+    blocks a series has (one per row, if its order key is sparse), no task sees them all. Again
+    both sides read one shuffle.
+    """
+    span = F.shiftright("block", _SPAN_BITS)
+    placed = blocks.withColumn("span", span).repartition(*_SPAN)
+    rows_before = Window.unboundedPreceding, -1
+
+    inside = Window.partitionBy(*_SPAN).orderBy("block").rowsBetween(*rows_before)
+    local = (
+        placed.select(
+            *_SPAN,
+            "block",
+            "n_values",
+            "n_bad",
+            F.sum("n").over(inside).alias("n_before"),
+            F.last("last_us", ignorenulls=True).over(inside).alias("us_before"),
+        )
+        .where((F.col("n_values") > 0) | (F.col("n_bad") > 0))
+        .drop("n_values", "n_bad")
+    )
+
+    earlier = Window.partitionBy(*_SERIES).orderBy("span").rowsBetween(*rows_before)
+    last_block = F.when(F.col("last_us").isNotNull(), F.col("block"))
+    spans = (
+        placed.groupBy(*_SPAN)
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("n_values").alias("n_values"),
+            F.sum("n_bad").alias("n_bad"),
+            F.max_by("last_us", last_block).alias("last_us"),
+        )
+        .select(
+            *_SPAN,
+            "n_values",
+            "n_bad",
+            F.sum("n").over(earlier).alias("n_earlier"),
+            F.last("last_us", ignorenulls=True).over(earlier).alias("us_earlier"),
+            F.sum("n_bad").over(Window.partitionBy(*_SERIES)).alias("bad"),
+        )
+        .where((F.col("n_values") > 0) | (F.col("n_bad") > 0))
+        .drop("n_values", "n_bad")
+    )
+    zero = F.lit(0).cast("bigint")
+    return local.join(spans, _SPAN).select(
+        *_BLOCK,
+        (F.coalesce("n_before", zero) + F.coalesce("n_earlier", zero)).alias("offset"),
+        F.coalesce("us_before", "us_earlier").alias("carried_us"),
+        "bad",
+    )
+
+
 def values_of(records: DataFrame, measure: str = "value") -> DataFrame:
     """The measured numbers (``value``, ``count`` or ``delta``) with their place in the series.
 
