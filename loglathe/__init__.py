@@ -1,7 +1,7 @@
 """Timestamped text logs to time series, statistics and chart data on Spark."""
 
 from .functions.timestamps import DEFAULT_FORMAT, TimeFormat
-from .plans.pipeline import Graph, Statistics, cat, graph, match_preview, read_series, stat
+from .plans.logs import Graph, Statistics, cat, graph, match_preview, read_series, stat
 from .plans.ranges import Fractions, Instants, parse_window
 from .sources.lines import lines_from_table, lines_from_text, read_log_files
 from .spec import EventCount, EventDelta, EventValue, FieldValue, Line, Panel

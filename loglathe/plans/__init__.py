@@ -1 +1 @@
-"""Queries composed of the operators: layout, ranges, series, whole pipelines."""
+"""Queries composed of the operators: layout, ranges, series, whole jobs over log files."""

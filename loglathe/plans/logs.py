@@ -1,4 +1,4 @@
-"""Whole pipelines over log files: preview, cat, stat, graph."""
+"""Whole jobs over log files: preview, cat, stat, graph."""
 
 from __future__ import annotations
 

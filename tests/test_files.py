@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import loglathe as ll
-from loglathe.plans.pipeline import read_series
+from loglathe.plans.logs import read_series
 from loglathe.sources.lines import local_path, source_name
 from loglathe.sources.records import (
     read_records, read_records_csv, write_records, write_records_csv,
@@ -134,7 +134,7 @@ def test_graph_with_many_files_per_spec(spark, tmp_path, monkeypatch):
     paths = demo_logs(tmp_path)
     panels = [ll.Panel([ll.Line(ll.FieldValue("x"), file_id=0), ll.Line(ll.EventCount("x"))])]
     listed = ll.graph(spark, panels, paths).records
-    monkeypatch.setattr("loglathe.plans.pipeline._LISTED_FILES", 0)
+    monkeypatch.setattr("loglathe.plans.logs._LISTED_FILES", 0)
     joined = ll.graph(spark, panels, paths).records
     assert listed.exceptAll(joined).isEmpty() and joined.exceptAll(listed).isEmpty()
     assert {r.n for r in joined.groupBy("source", "spec_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {20}
