@@ -12,7 +12,8 @@ No bucket is ever expanded into all its pairs:
 2. Every bucket's smallest id is its pivot; a member is checked against the pivot that it shares
    most buckets with, then against its other pivots where that has not joined them yet.
 3. What a bucket still holds in several components is compared by whole signatures inside bounded
-   blocks, and the few pairs that agree enough are checked on sets as well.
+   blocks. First each member's ``best`` partners in other components are checked on sets, twice;
+   then every pair in different components that agrees enough, each in the first bucket it shares.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,7 @@ class NearDup:
     errors: int = 1
     bits: int = 16
     agree: int = 27
+    best: int = 3
     block: int = 1024
     pivot_rows: int = 512
 
@@ -59,6 +62,18 @@ class NearDup:
         inside = list(combinations(range(self.symbols), self.symbols - self.errors))
         return np.array([[c * self.symbols + i for i in s] for c in range(self.chunks) for s in inside])
 
+    def first_key(self, equal: np.ndarray) -> np.ndarray:
+        """The number of the first key that two signatures share, by where they are equal."""
+        parts = equal.reshape(len(equal), self.chunks, self.symbols)
+        chunk = (parts.sum(2) >= self.symbols - self.errors).argmax(1)
+        inside = parts[np.arange(len(equal)), chunk]
+        choices = self.kept()[: self.keys_per_chunk]
+        return chunk * len(choices) + inside[:, choices].all(2).argmax(1)
+
+    @property
+    def keys_per_chunk(self) -> int:
+        return comb(self.symbols, self.errors)
+
 
 def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(75)
@@ -98,7 +113,7 @@ def _signature(row: np.ndarray, factor: np.ndarray, shift: np.ndarray, bits: int
 
 
 def index_keys(signatures: DataFrame, rule: NearDup) -> DataFrame:
-    """(key, id): the keys of every non-empty signature."""
+    """(key, number, id): the keys of every non-empty signature, and which of its keys each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = rule.kept()
@@ -111,11 +126,15 @@ def index_keys(signatures: DataFrame, rule: NearDup) -> DataFrame:
                 for k in range(kept.shape[1]):
                     keys = mix(keys ^ (part[:, kept[:, k]] + np.uint64(k << 40)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[i : i + 2000], len(kept)))],
-                    names=["key", "id"],
+                    [
+                        pa.array(keys.ravel().view(np.int64)),
+                        pa.array(np.tile(np.arange(len(kept), dtype=np.int16), len(part))),
+                        pa.array(np.repeat(ids[i : i + 2000], len(kept))),
+                    ],
+                    names=["key", "number", "id"],
                 )
 
-    return signatures.select("id", "signature").mapInArrow(run, "key long, id long")
+    return signatures.select("id", "signature").mapInArrow(run, "key long, number short, id long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, rule: NearDup, id_col: str, text_col: str) -> DataFrame:
@@ -175,38 +194,48 @@ def _split(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def _leftovers(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, rule: NearDup) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components whose whole signatures agree enough."""
-    rows = buckets.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _leftovers(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, rule: NearDup, best: bool) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components whose whole signatures agree enough: with
+    ``best`` only the partners of each member that agree most, else all."""
+    rows = buckets.select("key", "number", "id").join(labels, "id", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "id"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"))
     mixed = mixed.where("x != y").select("key", F.ceil(F.col("rows") / rule.block).cast("int").alias("blocks"))
     rows = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select(
-        "key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
+        "key", "number", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
     )
     rows = rows.join(signatures.select("id", "n", "signature"), "id")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, component, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
-        own, i, j = table.column("own").to_numpy(), key[1].as_py(), key[2].as_py()
+        ids, component, n, own = (table.column(c).to_numpy() for c in ("id", "component", "n", "own"))
+        i, j, number = key[1].as_py(), key[2].as_py(), table.column("number")[0].as_py()
         marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
         a, b = [], []
         for k in range(len(ids)):
-            if own[k] != i:
+            if own[k] != i and not best:
                 continue
-            near = (own == j) & (component != component[k])
-            if i == j:
+            near = (own == (j if own[k] == i else i)) & (component != component[k])
+            if i == j and not best:
                 near &= ids > ids[k]
             near &= rule.denominator * np.minimum(n, n[k]) >= rule.numerator * np.maximum(n, n[k])
             at = np.flatnonzero(near)
-            at = at[(marks[at] == marks[k]).sum(1) >= rule.agree]
+            equal = marks[at] == marks[k]
+            agree = equal.sum(1)
+            keep = agree >= rule.agree
+            if best:
+                keep &= agree >= np.sort(agree)[-rule.best :].min(initial=rule.size)
+                at = at[keep][np.argsort(-agree[keep], kind="stable")][: rule.best]
+            else:
+                at = at[keep & (rule.first_key(equal) == number)]
             a.append(np.maximum(ids[at], ids[k]))
             b.append(np.minimum(ids[at], ids[k]))
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table({"a": join(a), "b": join(b)})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    found = rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,10 +264,14 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     copies = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = stage(_verified(first, sets, rule), "links")
     labels = stage(components(links, "a", "b"), "labels")
-    links = links.unionByName(stage(_verified(_split(met.select("a", "b"), labels), sets, rule), "links"))
-    labels = stage(components(links, "a", "b"), "labels")
-    rest = stage(_leftovers(buckets, labels, signatures, rule), "rest")
-    links = links.unionByName(_verified(rest.join(met, ["a", "b"], "left_anti"), sets, rule))
+    tried = met.select("a", "b")
+    links = links.unionByName(stage(_verified(_split(tried, labels), sets, rule), "links"))
+    for best in (True, True, False):
+        labels = stage(components(links, "a", "b"), "labels")
+        rest = _leftovers(buckets, labels, signatures, rule, best)
+        rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        tried = tried.unionByName(rest)
+        links = links.unionByName(stage(_verified(rest, sets, rule), "links"))
     final = components(links.unionByName(copies), "a", "b")
     return (
         known.select("id", F.col("n").alias("n_shingles"))

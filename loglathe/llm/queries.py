@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loglathe.llm.bpe import round_trips
 from loglathe.llm.neardup import near_duplicates
+from loglathe.llm.packing import pack, pieces
 from loglathe.llm.winnow import edited_fingerprints
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,6 +22,21 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The documents as sequences of 2048 tokens of a public vocabulary."""
+    found = pieces(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+    )
+    return pack(found)
+
+
 def op7_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = round_trips(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -39,6 +55,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe_monoid": op7_bpe_monoid,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
