@@ -140,10 +140,10 @@ class ByteBpe:
         else:
             runs = iter(lambda: [m.group() for m in islice(matches, MATCHES)], [])
         for run in runs:
-            new = set(run) - known.keys()
+            new = [p for p in set(run) if p not in known]
             if len(known) + len(new) > MEMO:
                 known.clear()
-                new = set(run)
+                new = list(set(run))
             for piece in new:
                 known[piece] = self.piece(piece)
             yield b"".join(map(known.__getitem__, run))
