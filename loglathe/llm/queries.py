@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from loglathe.llm.bpe import round_trips
 from loglathe.llm.neardup import near_duplicates
 from loglathe.llm.packing import pack, pieces
+from loglathe.llm.quality import assessed
+from loglathe.llm.sampling import labelled_sample, remainder
+from loglathe.llm.toxicity import Shape, scored, train
 from loglathe.llm.winnow import edited_fingerprints
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,6 +26,20 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxic(docs.select("doc_id", "text"), labels).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with (score, held_out); labels of held-out ids (remainder 1 by 3) are not read."""
+    rows = labelled_sample(docs, labels, "toxic", Shape().sample, remainder("doc_id", 3) != 1)
+    model = train([r.text for r in rows], np.array([r.label for r in rows]))
+    return scored(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -43,6 +61,16 @@ def op7_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with their posterior quality; a source is a host, its languages are its paths."""
+    return assessed(docs, labels, F.col("source"), F.col("lang"), where=remainder("doc_id", 3) != 1)
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -55,8 +83,10 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op3_toxicity_cnn": op3_toxicity_cnn,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe_monoid": op7_bpe_monoid,
+    "op8_quality_bayes": op8_quality_bayes,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
