@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm.bpe import round_trips
+from loglathe.llm.html import extract
 from loglathe.llm.neardup import near_duplicates
+from loglathe.llm.neighbours import nearest
 from loglathe.llm.packing import pack, pieces
 from loglathe.llm.quality import assessed
 from loglathe.llm.sampling import labelled_sample, remainder
@@ -26,6 +28,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxic(docs.select("doc_id", "text"), labels).select(
@@ -40,6 +46,10 @@ def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
 
 
+def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -83,7 +93,9 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_html_blocks": op2_html_blocks,
     "op3_toxicity_cnn": op3_toxicity_cnn,
+    "op5_collision_ann": op5_collision_ann,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe_monoid": op7_bpe_monoid,
     "op8_quality_bayes": op8_quality_bayes,
