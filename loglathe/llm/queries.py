@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loglathe.llm.bpe import round_trips
 from loglathe.llm.html import extract
+from loglathe.llm.mixing import scores
 from loglathe.llm.neardup import near_duplicates
 from loglathe.llm.neighbours import nearest
 from loglathe.llm.packing import pack, pieces
@@ -81,6 +82,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return assessed(docs, labels, F.col("source"), F.col("lang"), where=remainder("doc_id", 3) != 1)
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -99,6 +104,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe_monoid": op7_bpe_monoid,
     "op8_quality_bayes": op8_quality_bayes,
+    "op9_context_mixing": op9_context_mixing,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
