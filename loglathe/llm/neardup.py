@@ -10,10 +10,11 @@ No bucket is ever expanded into all its pairs:
 
 1. Documents with equal shingle sets are one representative from the start.
 2. Every bucket's smallest id is its pivot; a member is checked against the pivot that it shares
-   most buckets with, then against its other pivots where that has not joined them yet.
-3. What a bucket still holds in several components is compared by whole signatures inside bounded
-   blocks. First each member's ``best`` partners in other components are checked on sets, twice;
-   then every pair in different components that agrees enough, each in the first bucket it shares.
+   most buckets with.
+3. What a bucket still holds in several components is compared by signatures inside bounded blocks,
+   a longer signature for pairs that the first one lets through. First each member's ``best``
+   partners in other components are checked on sets; then every pair in different components that
+   agrees enough, in the first bucket it shares.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ from loglathe.sources.staging import stage
 class NearDup:
     """Shingle width, similarity as a fraction, and the shape of signatures.
 
-    ``agree``: the fewest equal symbols for which step 3 compares sets; at a similarity of 0.75
-    a pair has 45 of 60 on average with a deviation of 3.4, and 27 are missed once in 10**7 pairs.
+    ``agree`` and ``agree_long``: the fewest equal symbols, of the signature and of a longer one of
+    one-byte symbols, for which step 3 checks sets. At a similarity of 0.75 a pair has 45 of 60 on
+    average with a deviation of 3.4, and 180 of 240 with one of 6.7: 27 and 145 lie over five
+    deviations below.
     """
 
     width: int = 5
@@ -49,6 +52,8 @@ class NearDup:
     errors: int = 1
     bits: int = 16
     agree: int = 27
+    long: int = 240
+    agree_long: int = 145
     best: int = 3
     block: int = 1024
     pivot_rows: int = 512
@@ -75,8 +80,8 @@ class NearDup:
         return comb(self.symbols, self.errors)
 
 
-def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(75)
+def _salts(n: int, seed: int = 75) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     draw = lambda: rng.integers(0, 1 << 63, n, dtype=np.uint64)
     return draw() * np.uint64(2) + np.uint64(1), draw()
 
@@ -138,28 +143,30 @@ def index_keys(signatures: DataFrame, rule: NearDup) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, rule: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, grams): the whole sorted shingle sets of the documents named by ``ids``."""
+    """(id, n, grams, signature): whole sorted shingle sets, and long signatures, of the documents
+    named by ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor, shift = _salts(rule.long, 7)
         for batch in batches:
             at = 0
             for _, end, found in words(batch.column(1)):
                 rows = list(shingle_sets(found, rule.width))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                    names=["id", "n", "grams"],
+                    [batch.column(0).slice(at, end - at), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()),
+                     pa.array([_signature(r, factor, shift, 8)[::4] if len(r) else b"" for r in rows], pa.binary())],
+                    names=["id", "n", "grams", "signature"],
                 )
                 at = end
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, grams binary")
+    found = texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, grams binary, signature binary")
     return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: NearDup) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Sets of an id with many pairs are
     copied once per ``pivot_rows`` of them, so that no task joins all pairs of one id."""
-    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / rule.pivot_rows).cast("int").alias("copies"))
     right = (
         sets.join(many, F.col("id") == F.col("b"))
@@ -185,16 +192,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: NearDup) -> DataFrame:
     return close.select("a", "b", "grams", "others").mapInArrow(run, "a long, b long")
 
 
-def _split(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Those pairs (a, b) that ``labels`` has in different components; all if there are no labels."""
-    if labels is None:
-        return pairs
-    own = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name))
-    joined = pairs.join(own("a", "ca"), "a", "left").join(own("b", "cb"), "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
-
-def _leftovers(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, rule: NearDup, best: bool) -> DataFrame:
+def _leftovers(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, rule: NearDup, best: bool) -> DataFrame:
     """Pairs (a, b) of a bucket in different components whose whole signatures agree enough: with
     ``best`` only the partners of each member that agree most, else all."""
     rows = buckets.select("key", "number", "id").join(labels, "id", "left")
@@ -207,28 +205,29 @@ def _leftovers(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, rul
         "key", "number", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
     )
     rows = rows.join(signatures.select("id", "n", "signature"), "id")
+    rows = rows.join(sets.select("id", F.col("signature").alias("long")), "id")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, component, n, own = (table.column(c).to_numpy() for c in ("id", "component", "n", "own"))
         i, j, number = key[1].as_py(), key[2].as_py(), table.column("number")[0].as_py()
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
+        view = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(ids), -1)
+        marks, longer = view("signature", np.uint32), view("long", np.uint8)
+        names, sizes = np.unique(component, return_counts=True)
         a, b = [], []
-        for k in range(len(ids)):
-            if own[k] != i and not best:
-                continue
+        # of two components one is not the largest, so its members find all pairs
+        for k in np.flatnonzero(component != names[sizes.argmax()]):
             near = (own == (j if own[k] == i else i)) & (component != component[k])
-            if i == j and not best:
-                near &= ids > ids[k]
             near &= rule.denominator * np.minimum(n, n[k]) >= rule.numerator * np.maximum(n, n[k])
             at = np.flatnonzero(near)
             equal = marks[at] == marks[k]
-            agree = equal.sum(1)
-            keep = agree >= rule.agree
+            keep = equal.sum(1) >= rule.agree
+            if not best:
+                keep[keep] = rule.first_key(equal[keep]) == number
+            at = at[keep]
+            agree = (longer[at] == longer[k]).sum(1)
+            at, agree = at[agree >= rule.agree_long], agree[agree >= rule.agree_long]
             if best:
-                keep &= agree >= np.sort(agree)[-rule.best :].min(initial=rule.size)
-                at = at[keep][np.argsort(-agree[keep], kind="stable")][: rule.best]
-            else:
-                at = at[keep & (rule.first_key(equal) == number)]
+                at = at[np.argsort(-agree, kind="stable")][: rule.best]
             a.append(np.maximum(ids[at], ids[k]))
             b.append(np.minimum(ids[at], ids[k]))
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
@@ -257,18 +256,14 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot != top")
     buckets = stage(keys.join(pivots.drop("top"), "key"), "buckets")
     met = buckets.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).count()
-    met = stage(met, "met")
     sets = stage(_sets(docs, buckets.select("id").distinct(), rule, id_col, text_col), "sets")
 
-    first = met.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
+    tried = stage(met.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), "tried")
     copies = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = stage(_verified(first, sets, rule), "links")
-    labels = stage(components(links, "a", "b"), "labels")
-    tried = met.select("a", "b")
-    links = links.unionByName(stage(_verified(_split(tried, labels), sets, rule), "links"))
-    for best in (True, True, False):
+    links = stage(_verified(tried, sets, rule), "links")
+    for best in (True, False):
         labels = stage(components(links, "a", "b"), "labels")
-        rest = _leftovers(buckets, labels, signatures, rule, best)
+        rest = _leftovers(buckets, labels, signatures, sets, rule, best)
         rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
         tried = tried.unionByName(rest)
         links = links.unionByName(stage(_verified(rest, sets, rule), "links"))
