@@ -14,6 +14,7 @@ from loglathe.llm.neardup import near_duplicates
 from loglathe.llm.neighbours import nearest
 from loglathe.llm.packing import pack, pieces
 from loglathe.llm.quality import assessed
+from loglathe.llm.repeats import repeated_spans
 from loglathe.llm.sampling import labelled_sample, remainder
 from loglathe.llm.toxicity import Shape, scored, train
 from loglathe.llm.winnow import edited_fingerprints
@@ -47,6 +48,14 @@ def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
 
 
+def op4_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select(
+        F.col("id").alias("doc_id"), F.col("start").alias("first_word"), (F.col("end") - F.col("start")).alias("n_words"),
+        F.col("source_id").alias("source_doc_id"), F.col("source_start").alias("source_first_word"),
+    )
+
+
 def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -100,6 +109,7 @@ QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_html_blocks": op2_html_blocks,
     "op3_toxicity_cnn": op3_toxicity_cnn,
+    "op4_sparse_suffix_array": op4_sparse_suffix_array,
     "op5_collision_ann": op5_collision_ann,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe_monoid": op7_bpe_monoid,
