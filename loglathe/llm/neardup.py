@@ -13,8 +13,9 @@ No bucket is ever expanded into all its pairs:
    most buckets with.
 3. What a bucket still holds in several components is compared by signatures inside bounded blocks,
    a longer signature for pairs that the first one lets through. First each member's ``best``
-   partners in other components are checked on sets; then every pair in different components that
-   agrees enough, in the first bucket it shares.
+   partners in other components are checked on sets. Then the members of pairs that still lie in
+   different components and agree enough meet once more with their sets, in the first bucket that a
+   pair shares; there all such pairs are decided, and only links that join components come out.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ class NearDup:
     agree_long: int = 145
     best: int = 3
     block: int = 1024
+    block_grams: int = 1 << 20
     pivot_rows: int = 512
 
     @property
@@ -192,49 +194,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: NearDup) -> DataFrame:
     return close.select("a", "b", "grams", "others").mapInArrow(run, "a long, b long")
 
 
-def _leftovers(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, rule: NearDup, best: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components whose whole signatures agree enough: with
-    ``best`` only the partners of each member that agree most, else all."""
-    rows = buckets.select("key", "number", "id").join(labels, "id", "left")
+def _cells(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, rule: NearDup) -> DataFrame:
+    """(key, i, j, number, id, component, own): the buckets that hold several components, as pairs of
+    blocks of bounded rows and bounded shingles; ``own`` is the block of the row itself."""
+    rows = buckets.select("key", "number", "id").join(labels, "id", "left").join(signatures.select("id", "n"), "id")
     rows = rows.withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"))
-    mixed = mixed.where("x != y").select("key", F.ceil(F.col("rows") / rule.block).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select(
-        "key", "number", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
+    mixed = rows.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"), F.sum("n").alias("grams")
     )
-    rows = rows.join(signatures.select("id", "n", "signature"), "id")
+    blocks = F.greatest(F.ceil(F.col("rows") / rule.block), F.ceil(F.col("grams") / rule.block_grams))
+    rows = rows.join(mixed.where("x != y").select("key", blocks.cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "number", "id", "component", "own")
+
+
+def _outside(table: pa.Table, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a cell that is not in its largest component, and where its rows of other components
+    are. Of two components one is not the largest, so these meet every pair."""
+    component, own = table.column("component").to_numpy(), table.column("own").to_numpy()
+    names, sizes = np.unique(component, return_counts=True)
+    for k in np.flatnonzero(component != names[sizes.argmax()]):
+        yield k, (own == (j if own[k] == i else i)) & (component != component[k])
+
+
+def _agreeing(cells: DataFrame, signatures: DataFrame, sets: DataFrame, rule: NearDup, best: bool) -> DataFrame:
+    """With ``best`` pairs (a, b): of each row of a cell the partners in other components that agree
+    most. Else the rows of a cell with any such partner, where a pair counts in its first bucket only."""
+    rows = cells.join(signatures.select("id", "n", "signature"), "id")
     rows = rows.join(sets.select("id", F.col("signature").alias("long")), "id")
+    keep = ["key", "i", "j", "id", "component", "own"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, component, n, own = (table.column(c).to_numpy() for c in ("id", "component", "n", "own"))
-        i, j, number = key[1].as_py(), key[2].as_py(), table.column("number")[0].as_py()
+        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+        number = table.column("number")[0].as_py()
         view = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(ids), -1)
         marks, longer = view("signature", np.uint32), view("long", np.uint8)
-        names, sizes = np.unique(component, return_counts=True)
-        a, b = [], []
-        # of two components one is not the largest, so its members find all pairs
-        for k in np.flatnonzero(component != names[sizes.argmax()]):
-            near = (own == (j if own[k] == i else i)) & (component != component[k])
-            near &= rule.denominator * np.minimum(n, n[k]) >= rule.numerator * np.maximum(n, n[k])
-            at = np.flatnonzero(near)
+        a, b, some = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(ids), bool)
+        for k, near in _outside(table, key[1].as_py(), key[2].as_py()):
+            at = np.flatnonzero(near & (rule.denominator * np.minimum(n, n[k]) >= rule.numerator * np.maximum(n, n[k])))
             equal = marks[at] == marks[k]
-            keep = equal.sum(1) >= rule.agree
+            close = equal.sum(1) >= rule.agree
             if not best:
-                keep[keep] = rule.first_key(equal[keep]) == number
-            at = at[keep]
+                close[close] = rule.first_key(equal[close]) == number
+            at = at[close]
             agree = (longer[at] == longer[k]).sum(1)
             at, agree = at[agree >= rule.agree_long], agree[agree >= rule.agree_long]
             if best:
                 at = at[np.argsort(-agree, kind="stable")][: rule.best]
-            a.append(np.maximum(ids[at], ids[k]))
-            b.append(np.minimum(ids[at], ids[k]))
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": join(a), "b": join(b)})
+                a.append(np.maximum(ids[at], ids[k]))
+                b.append(np.minimum(ids[at], ids[k]))
+            elif len(at):
+                some[at] = some[k] = True
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if best else table.filter(pa.array(some)).select(keep)
+
+    schema = "a long, b long" if best else "key long, i int, j int, id long, component long, own int"
+    return rows.groupBy("key", "i", "j").applyInArrow(run, schema)
+
+
+def _joining(cells: DataFrame, sets: DataFrame, rule: NearDup) -> DataFrame:
+    """Links (a, b) that connect all components of each cell that similar sets connect: every pair of
+    rows in different components is decided on whole sets, and a link that joins no more is left out."""
+    rows = cells.join(sets.select("id", "n", "grams"), "id")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+        grams = np.frombuffer(b"".join(table.column("grams").to_pylist()), np.uint64)
+        distinct, place = np.unique(grams, return_inverse=True)
+        ends = np.cumsum(n)
+        starts, has, group = ends - n, np.zeros(len(distinct), bool), component.copy()
+        a, b = [], []
+        for k, near in _outside(table, key[1].as_py(), key[2].as_py()):
+            own = place[starts[k] : ends[k]]
+            has[own] = True
+            common = np.add.reduceat(has[place], starts, dtype=np.int64)
+            has[own] = False
+            for m in np.flatnonzero(near & (rule.denominator * common >= rule.numerator * (n + n[k] - common))):
+                if group[m] != group[k]:
+                    group[group == group[m]] = group[k]
+                    a.append(max(ids[m], ids[k]))
+                    b.append(min(ids[m], ids[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
-    return found.distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,12 +303,13 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     tried = stage(met.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), "tried")
     copies = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = stage(_verified(tried, sets, rule), "links")
-    for best in (True, False):
-        labels = stage(components(links, "a", "b"), "labels")
-        rest = _leftovers(buckets, labels, signatures, sets, rule, best)
-        rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-        tried = tried.unionByName(rest)
-        links = links.unionByName(stage(_verified(rest, sets, rule), "links"))
+    labels = stage(components(links, "a", "b"), "labels")
+    close = _agreeing(_cells(buckets, labels, signatures, rule), signatures, sets, rule, best=True).distinct()
+    close = stage(close.join(tried, ["a", "b"], "left_anti"), "close")
+    links = links.unionByName(stage(_verified(close, sets, rule), "links"))
+    labels = stage(components(links, "a", "b"), "labels")
+    cells = stage(_agreeing(_cells(buckets, labels, signatures, rule), signatures, sets, rule, best=False), "cells")
+    links = links.unionByName(stage(_joining(cells, sets, rule), "links"))
     final = components(links.unionByName(copies), "a", "b")
     return (
         known.select("id", F.col("n").alias("n_shingles"))
