@@ -290,7 +290,9 @@ FROM panels, common""",
     "align_fixed_relative": f"""{RANGES}
 SELECT panel_ix, w.s AS range_start, w.e AS range_end FROM panels, (SELECT {_at(0.25)} AS s, {_at(0.6)} AS e FROM total) w""",
     "align_fixed_absolute": f"""{RANGES}
-SELECT panel_ix, {ABS_START} AS range_start, {ABS_END} AS range_end FROM panels""",
+SELECT panel_ix, {ABS_START} AS range_start, {ABS_END} AS range_end, (SELECT count(*) FROM bound JOIN recs
+  ON recs.spec = bound.spec AND recs.source = bound.source WHERE bound.panel_ix = panels.panel_ix
+  AND recs.ts >= {ABS_START} AND recs.ts < {ABS_END}) AS n_records FROM panels""",
     "lines_in_range": f"""{RANGES}
 SELECT panel_ix, line_ix, source, EXISTS (SELECT 1 FROM recs WHERE recs.spec = bound.spec AND recs.source = bound.source
   AND recs.ts >= {ABS_START} AND recs.ts < {ABS_END}) AS has_data FROM bound""",

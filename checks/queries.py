@@ -387,6 +387,16 @@ def staged_layout(spark, folder, mode, window=None):
     return bound, records, windows
 
 
+def aligned_absolute(spark, folder):
+    """The window of every panel, and how many records of its lines lie in it."""
+    bound, records, windows = staged_layout(spark, folder, "fixed", ABSOLUTE)
+    drawn = records.select("source", "spec_id", "ts").join(bound, ["source", "spec_id"]).join(windows, "panel_ix")
+    inside = drawn.where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    counted = windows.join(inside.groupBy("panel_ix").agg(F.count("*").alias("n")), "panel_ix", "left")
+    n = F.coalesce("n", F.lit(0)).cast("bigint").alias("n_records")
+    return counted.select("panel_ix", "start", "end", n).withColumnsRenamed(RANGE)
+
+
 def lines_in_range(spark, folder):
     bound, records, windows = staged_layout(spark, folder, "fixed", ABSOLUTE)
     found = ranges.lines_in_range(bound, windows, records)
@@ -482,7 +492,7 @@ QUERIES = {
     "align_shared_full": partial(aligned, "shared-full", None),
     "align_shared_overlap": partial(aligned, "shared-overlap", None),
     "align_fixed_relative": partial(aligned, "fixed", RELATIVE),
-    "align_fixed_absolute": partial(aligned, "fixed", ABSOLUTE),
+    "align_fixed_absolute": aligned_absolute,
     "lines_in_range": lines_in_range,
     "chart_series": chart_series,
     "chart_series_clipped": chart_series_clipped,

@@ -232,7 +232,7 @@ class TimeFormat:
             seconds = self._text(fields, "epoch").try_cast("bigint")
             fraction = {"fraction", "nanos"} & names
             micros = self._micros(fields) if fraction else F.lit(0).cast("bigint")
-            return micros_to_ts(seconds * 1_000_000 + micros)
+            return micros_to_ts(F.try_add(F.try_multiply(seconds, F.lit(1_000_000)), micros))
         if names <= {"year", "month", "day", "hour", "minute", "second", "fraction"}:
             return self._numeric_timestamp(prefix)
         return self._general_timestamp(fields)

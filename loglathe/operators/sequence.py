@@ -5,10 +5,9 @@ shuffled once by (source, spec, block). Within a block a window gives the local
 previous timestamp; a summary of one row per block gives what came before the block; the two are
 joined. Blocks are bounded, so the work spreads however unevenly the sources are sized.
 
-Both sides read the same shuffle (``ReusedExchange``), so the lines are scanned once. That needs
-both sides to use the same columns, which they do: the summary counts timestamps and values, and
-blocks without a single value are left out of the join. The summary is run through the same scheme
-again, in spans of blocks.
+The hits are stored first. Whatever columns a query then uses, and so whether or not both sides
+share one shuffle, only the stored hits are read twice and the lines once. The summary is run
+through the same scheme again, in spans of blocks.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import floor_millis, micros_to_ts, whole_millis
+from ..sources.staging import stage
 from .extract import TOLERATED_BAD_TIMESTAMPS
 
 _SERIES = ["source", "spec_id"]
@@ -32,7 +32,7 @@ def number_hits(hits: DataFrame) -> DataFrame:
     whose text is no number; these yield no record. Raises when a (source, spec) has more bad
     timestamps than tolerated (rows with ``us`` NULL, see :func:`extract.hits`).
     """
-    placed = hits.repartition(*_BLOCK)
+    placed = stage(hits, "hits").repartition(*_BLOCK)
     us = F.col("us")
 
     local = Window.partitionBy(*_BLOCK).orderBy("seq")

@@ -174,14 +174,15 @@ def bucket_width(low: Column, high: Column, buckets: int, mode: str = "padded")
     """Width of a histogram bucket.
 
     ``padded`` widens the range by the remainder of its whole part divided by the number of
-    buckets; ``equal`` divides the range itself.
+    buckets; ``equal`` divides the range itself. An infinite range has infinite buckets, the first
+    of which holds every value.
     """
     span = high - low
     if mode == "equal":
         return span / F.lit(float(buckets))
     if mode != "padded":
         raise ValueError("mode must be 'padded' or 'equal'")
-    pad = F.pmod(span.cast("bigint"), F.lit(buckets)).cast("double")
+    pad = F.floor(F.pmod(span, F.lit(float(buckets)))).cast("double")
     return (span + pad) / F.lit(float(buckets))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.timestamps import TimeFormat
 from ..operators import extract, sequence, stats
 from ..operators.joins import attach
-from ..sources.lines import read_log_files, source_name
+from ..sources.lines import literal_path, read_log_files, source_name
 from ..sources.staging import stage
 from ..spec import DELTA, FIELD, Panel
 from . import layout, ranges, series
@@ -121,7 +121,7 @@ def graph(
     limits = {i: names for i, names in partial.items() if len(names) <= _LISTED_FILES}
     time_format = reading.pop("time_format", TimeFormat())
     bad_timestamps = reading.pop("bad_timestamps", "fail")
-    lines = read_log_files(spark, files, **reading)
+    lines = read_log_files(spark, [literal_path(f) for f in files], **reading)
     found = extract.hits(lines, specs, time_format, bad_timestamps, limits)
     bound = layout.bound_table(spark, rows)
     if len(limits) < len(partial):

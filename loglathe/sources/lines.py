@@ -7,6 +7,7 @@ need a whole source in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -27,6 +28,11 @@ def source_name(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(hadoop_path).toString())
 
 
+def literal_path(path: str) -> str:
+    """A pattern that matches only the file of this name."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def _decoded_path() -> Column:
     """``_metadata.file_path`` is URL-encoded; decode ``%xx`` (if there is any) but keep ``+``."""
     path = F.col("_metadata.file_path")

@@ -22,7 +22,7 @@ from ..functions.timestamps import TimeFormat
 from ..operators.extract import hits
 from ..operators.joins import attach
 from ..operators.sequence import number_hits
-from ..sources.lines import log_file_versions, read_log_files
+from ..sources.lines import literal_path, log_file_versions, read_log_files
 from ..sources.records import stale_series, stored_schema
 from ..sources.staging import stage
 
@@ -66,7 +66,7 @@ def refresh_records(
     wanted = {row.spec_id for row in stale.select("spec_id").distinct().collect()}
     run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
-    lines = read_log_files(spark, files)
+    lines = read_log_files(spark, [literal_path(f) for f in files])
     found = hits(lines, [by_id[i] for i in by_id if i in wanted], time_format, bad_timestamps)
     records = number_hits(attach(found, stale, ["source", "spec_id"], "left_semi", rows=n_stale))
     # Repeating the rebalancing hint per spec keeps the files of a run few and even in size.

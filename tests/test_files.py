@@ -188,3 +188,24 @@ def test_refresh(spark, tmp_path):
     assert present()[("a.log", field.spec_id)] == (1, 1, 100.0)
     assert ll.refresh_records(spark, str(logs), [field], store, force=True) == 2
     assert present()[("b.log", field.spec_id)] == (1, 1, 5.0)
+
+
+def test_names_with_glob_characters_are_names(spark, tmp_path):
+    for name, n in (("app1.log", 1), ("app[1].log", 2), ("a*.log", 3)):
+        (tmp_path / name).write_text("".join(f"[{1_700_000_000 + k}] x=1\n" for k in range(n)))
+    spec, epoch = ll.FieldValue("x"), ll.TimeFormat("[%s]")
+    store = str(tmp_path / "store")
+    assert ll.refresh_records(spark, str(tmp_path / "*.log"), [spec], store, epoch) == 3
+    current = ll.current_records(spark, str(tmp_path / "*.log"), store)
+    assert sorted(r["count"] for r in current.groupBy("source").count().collect()) == [1, 2, 3]
+    inputs = [str(tmp_path / name) for name in ("app1.log", "app[1].log")]
+    panel = ll.Panel([ll.Line(spec, file_id=0), ll.Line(spec, file_id=1)])
+    graph = ll.graph(spark, [panel], inputs, time_format=epoch, alignment="shared-full")
+    assert sorted(r["count"] for r in graph.records.groupBy("source").count().collect()) == [1, 2]
+
+
+def test_lines_are_scanned_once_whatever_columns_are_used(spark, tmp_path):
+    (tmp_path / "a.log").write_text("[1700000000] x=1\n[1700000001] x=2\n")
+    values = ll.cat(spark, str(tmp_path / "a.log"), ll.FieldValue("x"), time_format=ll.TimeFormat("[%s]"))
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    assert "a.log" not in plan and "FileScan text" not in plan

@@ -107,3 +107,11 @@ def test_salted_join_equals_broadcast_join(spark, how):
     salted = joins.attach(big, small, ["k"], how, broadcast_rows=0)
     assert salted.columns == broadcast.columns
     assert salted.exceptAll(broadcast).isEmpty() and broadcast.exceptAll(salted).isEmpty()
+
+
+@pytest.mark.parametrize("top", [1e19, float("inf")])
+def test_histogram_of_a_huge_range(spark, top):
+    rows = spark.createDataFrame([("s", "a", 0.0), ("s", "a", top)], "source string, spec_id string, value double")
+    found = histogram(rows).orderBy("bucket").collect()
+    assert sum(r["count"] for r in found) == 2
+    assert [r["count"] for r in found if r["count"]] == ([2] if top == float("inf") else [1, 1])

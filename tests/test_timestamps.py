@@ -102,3 +102,8 @@ def test_windows(spark):
     for bad in ("0.5,0.25", "-0.1,0.5", "0.5", "0,1,2", "yesterday,today"):
         with pytest.raises(ValueError):
             parse_window(spark, bad)
+
+
+def test_seconds_too_large_for_a_timestamp_are_bad(extracted):
+    found = extracted(ll.FieldValue("x"), "[99999999999999] x=1", "[1700000000] x=2", fmt="[%s]", bad="ignore")
+    assert [r[0] for r in found] == [2.0]
