@@ -7,8 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglathe.llm.alignment import Vocabularies, alignments
 from loglathe.llm.bpe import round_trips
+from loglathe.llm.divergence import divergences
 from loglathe.llm.html import extract
+from loglathe.llm.langid import languages
 from loglathe.llm.mixing import scores
 from loglathe.llm.neardup import near_duplicates
 from loglathe.llm.neighbours import nearest
@@ -105,6 +108,20 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignments(table(spark, sf_dir, "documents"), files).withColumnRenamed("id", "doc_id")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages(docs, remainder("doc_id", 4) == 2).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_html_blocks": op2_html_blocks,
@@ -116,6 +133,9 @@ QUERIES = {
     "op8_quality_bayes": op8_quality_bayes,
     "op9_context_mixing": op9_context_mixing,
     "op10_minhash_neardup": op10_minhash_neardup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = {
@@ -137,4 +157,35 @@ ORACLES = {
             UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.c)
         SELECT s.doc_id, len(g) AS n_shingles, c AS component_id, s.doc_id = c AS kept
         FROM s JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) ON id = s.doc_id""",
+    "op11_source_divergence": f"""
+        WITH t AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+                regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS found
+            FROM documents),
+        o AS (SELECT lang, source, row, translate(unnest(found), '{_UPPER}', '{_LOWER}') AS term FROM t),
+        k AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+        l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM t),
+        c AS (SELECT o.lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY o.lang, source, term),
+        s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + l.v) AS p,
+                1 + (1000000000::HUGEINT * (k.total + 1)) // (l.n + l.v) AS q
+            FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+            LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        d AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY a.lang, a.source, b.source),
+        f AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+            FROM f)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
 }
