@@ -1,55 +1,42 @@
-"""User patterns: the field shorthand, checks, and the literals that spare regex work.
-
-Patterns are written in the common Perl-like dialect with Unicode classes. Java needs three
-changes: ``(?P<name>`` becomes ``(?<name>``, ``(?U)`` makes ``\\w``, ``\\d``, ``\\s`` and ``\\b``
-Unicode-aware so that, for instance, the unit of ``540µs`` is captured whole, and ``(?d)`` leaves
-the newline as the only character that ``.`` and ``$`` treat as a line end.
-"""
+"""User patterns: the field shorthand, checks, and the literals that spare regex work."""
 
 from __future__ import annotations
 
-import re
-from re import _constants as _c
-from re import _parser
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_META = re.compile(r"[\\.^$|?*+()\[\]{}]")
-_UNICODE_CLASS = re.compile(r"\\[wWdDsSbBpP]|\[:|\(\?[a-zA-Z-]*i")
+from .dialect import PatternError, escape, parse
+
+MOST_GROUPS = 2
+# Fixed value: what follows the name of a field, a number and perhaps a unit.
+_FIELD_NUMBER = r"=([\d\.]+)(\w+)?"
 
 
 def field_regex(field: str) -> str:
     """The regular expression of a field: itself if it has 1-2 capture groups, else ``name=number``.
 
-    Text that is no regular expression, or has no capture group, is taken as a field name.
+    Text that is no valid pattern, or has no capture group, is taken as a field name.
     """
     try:
-        groups = re.compile(field).groups
-    except re.error:
+        groups = parse(field).groups
+    except PatternError:
         groups = 0
-    if groups > 2:
-        raise ValueError(f"field regex shall have 1 or 2 capture groups: {field!r}")
-    if groups:
-        return field
-    return rf"\b{re.escape(field)}=([\d\.]+)(\w+)?"
+    if groups > MOST_GROUPS:
+        raise ValueError(f"a field takes a number and a unit from a line, but {field!r} has {groups} groups")
+    return field if groups else rf"\b{escape(field)}{_FIELD_NUMBER}"
 
 
 def group_count(regex: str) -> int:
-    return re.compile(regex).groups
+    return parse(regex).groups
 
 
 def java_regex(regex: str) -> str:
     """The pattern for Spark's regex functions."""
-    flags = "d" if "." in regex or "$" in regex else ""
-    if _UNICODE_CLASS.search(regex):
-        flags += "U"
-    regex = regex.replace("(?P<", "(?<")
-    return f"(?{flags}){regex}" if flags else regex
+    return parse(regex).java
 
 
 def is_plain_text(regex: str) -> bool:
-    return not _META.search(regex)
+    return not set(regex) & set("\\.^$|?*+()[]{}")
 
 
 def required_text(regex: str) -> str:
@@ -57,58 +44,17 @@ def required_text(regex: str) -> str:
 
     Testing for it first is a plain byte search; most lines never reach the regex engine.
     """
-    try:
-        parsed = _parser.parse(regex)
-    except re.error:
-        return ""
-    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
-        return ""
-    runs, run = [], []
-    for op, arg in parsed:
-        if op is _c.LITERAL:
-            run.append(chr(arg))
-            continue
-        if op is _c.AT:
-            continue
-        runs.append("".join(run))
-        run = []
-    runs.append("".join(run))
-    return max(runs, key=len)
-
-
-def _first_group(regex: str):
-    """Group 1 of the parsed pattern and whether a match may leave it out."""
-
-    def search(items, optional):
-        for op, arg in items:
-            if op is _c.SUBPATTERN:
-                if arg[0] == 1:
-                    return arg[-1], optional
-                found = search(arg[-1], optional)
-            elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT, _c.POSSESSIVE_REPEAT):
-                found = search(arg[2], optional or arg[0] == 0)
-            elif op is _c.BRANCH:
-                found = next(filter(None, (search(branch, True) for branch in arg[1])), None)
-            elif op is _c.ATOMIC_GROUP:
-                found = search(arg, optional)
-            else:
-                found = None
-            if found:
-                return found
-        return None
-
-    return search(_parser.parse(regex), False)
+    return parse(regex).required
 
 
 def first_group_optional(regex: str) -> bool:
     """True if a match may leave group 1 out (it then counts as the number 0)."""
-    return _first_group(regex)[1]
+    return parse(regex).first_group_optional
 
 
 def first_group_tells_match(regex: str) -> bool:
     """True if every match has non-empty text in group 1: capturing it is also the match test."""
-    group, optional = _first_group(regex)
-    return not optional and group.getwidth()[0] > 0
+    return parse(regex).first_group_tells_match
 
 
 def found(text: Column, regex: str) -> Column:
@@ -121,11 +67,21 @@ def found(text: Column, regex: str) -> Column:
 
 
 def check_patterns(spark, regexes) -> None:
-    """Let the JVM compile every pattern once, before a long job starts.
+    """Let the JVM compile every pattern once, before a long job starts, and count its groups.
 
-    The expressions are constant, so this is decided while planning and runs no job.
+    A pattern that the JVM refuses (an unknown script, say) or counts otherwise is an error.
     """
-    regexes = [r for r in dict.fromkeys(regexes) if not is_plain_text(r)]
-    if regexes:
-        checks = [F.regexp_like(F.lit(""), F.lit(java_regex(r))) for r in regexes]
-        spark.sql("SELECT 1").select(*checks).collect()
+    compiler = spark.sparkContext._jvm.java.util.regex.Pattern
+    for regex in dict.fromkeys(regexes):
+        parsed = parse(regex)
+        try:
+            groups = compiler.compile(parsed.java).matcher("").groupCount()
+        except Exception as refusal:
+            raise PatternError(regex, 0, f"the JVM refuses the pattern ({_reason(refusal)})") from refusal
+        if groups != parsed.groups:
+            raise PatternError(regex, 0, f"{parsed.groups} groups are {groups} for the JVM")
+
+
+def _reason(refusal: Exception) -> str:
+    text = str(getattr(refusal, "java_exception", refusal))
+    return text.splitlines()[0].rpartition("Exception: ")[2]
