@@ -4,8 +4,10 @@ from .functions.timestamps import DEFAULT_FORMAT, TimeFormat
 from .plans.logs import Graph, Statistics, cat, graph, match_preview, read_series, stat
 from .plans.ranges import Fractions, Instants, parse_window
 from .sources.lines import lines_from_table, lines_from_text, read_log_files
+from .sources.records import Window
+from .sources.staging import scratch
 from .spec import EventCount, EventDelta, EventValue, FieldValue, Line, Panel
-from .streaming.refresh import current_records, refresh_records
+from .streaming.refresh import clean_store, compact_records, current_records, refresh_records
 
 __all__ = [
     "DEFAULT_FORMAT",
@@ -20,7 +22,10 @@ __all__ = [
     "Panel",
     "Statistics",
     "TimeFormat",
+    "Window",
     "cat",
+    "clean_store",
+    "compact_records",
     "current_records",
     "graph",
     "lines_from_table",
@@ -30,5 +35,6 @@ __all__ = [
     "read_log_files",
     "read_series",
     "refresh_records",
+    "scratch",
     "stat",
 ]

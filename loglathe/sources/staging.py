@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,18 +22,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, folder: str | None = None) -> Iterator[str]:
+    """Everything staged inside goes to a folder of its own, which is deleted at the end.
+
+    ``folder`` is where that folder is made (default: the shared folder). What is to be used after
+    the block must be computed or written elsewhere within it: a table that still reads staged ones
+    fails later.
+    """
+    path = f"{(folder or _scratch.get() or shared_folder(spark)).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(hadoop_path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(_scratch.get() or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", path: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and return the table read back.
 
     Later passes read only the columns they need, lost executors cost no recomputation, and the
-    size of the result is known to the planner. The folder is the cluster's scratch area: its
-    clean-up policy removes the tables.
+    size of the result is known to the planner. Inside :func:`scratch` the tables go when it ends;
+    others stay until the cluster's clean-up of its scratch area. ``path`` puts the table elsewhere.
     """
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,0 +1,274 @@
+"""The store of records: commits, crashes, concurrent writers, compaction, and what readers open."""
+
+import os
+import re
+import threading
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+import loglathe as ll
+from loglathe.plans import ranges, series
+from loglathe.sources.records import Window, laid_out, read_records, sorted_by_time, write_records, write_records_csv
+from loglathe.sources.staging import stage
+from loglathe.streaming import refresh
+from loglathe.streaming.runs import RunLog
+
+EPOCH = ll.TimeFormat("[%s]")
+FIRST = 1_650_000_000
+LEVEL, ALARM = ll.FieldValue("level"), ll.EventCount("alarm")
+
+
+def write(path, values, mtime=None):
+    path.write_text("".join(f"[{FIRST + k}] tank level={v}{' alarm' if v > 50 else ''}\n" for k, v in enumerate(values)))
+    if mtime:
+        os.utime(path, (mtime, mtime))
+
+
+def refreshed(spark, folder, specs=(LEVEL,), **more):
+    return ll.refresh_records(spark, str(folder / "logs"), list(specs), str(folder / "store"), EPOCH, **more)
+
+
+def current(spark, folder, **more):
+    rows = ll.current_records(spark, str(folder / "logs"), str(folder / "store"), **more)
+    found = {}
+    for r in rows.orderBy("count").collect():
+        found.setdefault((os.path.basename(r.source), r.spec_id), []).append(r.value)
+    return found
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "logs").mkdir()
+    return tmp_path
+
+
+def scans(frame, where=""):
+    """(rows that scans of some location have put out, text of the plan) after running a frame."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    text = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+    counted = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("Scan parquet") and where in node.verboseStringWithOperatorId():
+            counted.append(node.metrics().apply("numOutputRows").value())
+        for inner in ("finalPhysicalPlan", "plan"):
+            if name in ("AdaptiveSparkPlan", "ShuffleQueryStage", "BroadcastQueryStage") and hasattr(node, inner):
+                try:
+                    walk(getattr(node, inner)())
+                    return
+                except Exception:  # not this kind of node
+                    continue
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return sum(counted), text
+
+
+def test_only_live_runs_are_opened(spark, folder):
+    for k in range(3):
+        write(folder / "logs" / f"{k}.log", [k + 1.0])
+        assert refreshed(spark, folder) == 1
+    write(folder / "logs" / "0.log", [9.0], mtime=1_800_000_000)
+    assert refreshed(spark, folder) == 1
+    live = RunLog(spark, str(folder / "store")).latest().live
+    assert len(live) == 4
+    rows = ll.current_records(spark, str(folder / "logs"), str(folder / "store"))
+    count, plan = scans(rows.select("value"), "/store/records")
+    assert re.search(r"PartitionFilters: \[.*run#\d+ IN \(", plan)
+    for run, opened in zip(live, (False, True, True, True)):
+        assert (run in plan) is opened  # the first run is superseded: its files are not opened
+    assert count == 3 and sorted(v for x in current(spark, folder).values() for v in x) == [2.0, 3.0, 9.0]
+
+
+@pytest.mark.parametrize("place", ["_write_keys", "RunLog.add"])
+def test_a_crash_leaves_nothing_that_a_reader_sees(spark, folder, monkeypatch, place):
+    write(folder / "logs" / "a.log", [1.0, 60.0])
+    assert refreshed(spark, folder) == 1
+    write(folder / "logs" / "b.log", [2.0])
+
+    def crash(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(f"loglathe.streaming.refresh.{place}", crash)
+        with pytest.raises(KeyboardInterrupt):
+            refreshed(spark, folder, [LEVEL, ALARM])
+    assert current(spark, folder) == {("a.log", LEVEL.spec_id): [1.0, 60.0]}
+    assert len(os.listdir(folder / "store" / "records")) == 2  # the lost run's files are there
+    assert refreshed(spark, folder, [LEVEL, ALARM]) == 3
+    assert current(spark, folder) == {
+        ("a.log", LEVEL.spec_id): [1.0, 60.0], ("a.log", ALARM.spec_id): [1.0], ("b.log", LEVEL.spec_id): [2.0],
+    }
+    assert ll.clean_store(spark, str(folder / "store")) == []  # too young
+    assert len(ll.clean_store(spark, str(folder / "store"), older_than=0)) == 1
+    assert len(os.listdir(folder / "store" / "records")) == 2
+    assert len(current(spark, folder)) == 3
+
+
+def test_a_file_that_changes_while_it_is_read_gets_no_key(spark, folder, monkeypatch):
+    write(folder / "logs" / "a.log", [1.0])
+    write(folder / "logs" / "b.log", [2.0])
+    before = refresh._write_records
+
+    def meanwhile(*args):
+        before(*args)
+        write(folder / "logs" / "b.log", [3.0, 4.0], mtime=1_900_000_000)
+
+    monkeypatch.setattr(refresh, "_write_records", meanwhile)
+    assert refreshed(spark, folder) == 1
+    assert current(spark, folder) == {("a.log", LEVEL.spec_id): [1.0]}
+    monkeypatch.setattr(refresh, "_write_records", before)
+    assert refreshed(spark, folder) == 1
+    assert current(spark, folder) == {("a.log", LEVEL.spec_id): [1.0], ("b.log", LEVEL.spec_id): [3.0, 4.0]}
+
+
+def test_compaction_keeps_what_counts(spark, folder):
+    store = str(folder / "store")
+    for k in range(4):
+        for name in ("a", "b", f"own{k}"):
+            write(folder / "logs" / f"{name}.log", [float(k), 70.0 + k], mtime=1_700_000_000 + k)
+        refreshed(spark, folder, [LEVEL, ALARM])
+    before = current(spark, folder)
+    live = RunLog(spark, store).latest().live
+    gone = ll.compact_records(spark, store)  # runs 0 to 2 have 2 of 6 series left
+    assert gone == sorted(live[:3]) and current(spark, folder) == before
+    assert len(RunLog(spark, store).latest().live) == 2
+    assert ll.clean_store(spark, store, older_than=0) == gone and current(spark, folder) == before
+    assert ll.compact_records(spark, store) == []
+    assert len(ll.compact_records(spark, store, most_runs=1)) == 2 and current(spark, folder) == before
+    assert refreshed(spark, folder, [LEVEL, ALARM]) == 0
+    for log in (folder / "logs").iterdir():
+        log.unlink()
+    write(folder / "logs" / "new.log", [5.0])
+    refreshed(spark, folder)
+    ll.compact_records(spark, store, str(folder / "logs"))
+    assert len(RunLog(spark, store).latest().live) == 1 and current(spark, folder) == {("new.log", LEVEL.spec_id): [5.0]}
+
+
+def test_a_run_committed_during_a_compaction_stays_the_last(spark, folder, monkeypatch):
+    store = str(folder / "store")
+    for value in (1.0, 2.0):
+        write(folder / "logs" / "a.log", [value])
+        refreshed(spark, folder, force=True)
+    before = refresh._write_keys
+
+    def meanwhile(*args):
+        monkeypatch.setattr(refresh, "_write_keys", before)
+        before(*args)
+        write(folder / "logs" / "a.log", [3.0])
+        refreshed(spark, folder, force=True)
+
+    monkeypatch.setattr(refresh, "_write_keys", meanwhile)
+    assert len(ll.compact_records(spark, store, most_runs=1)) == 2
+    assert len(RunLog(spark, store).latest().live) == 2 and current(spark, folder) == {("a.log", LEVEL.spec_id): [3.0]}
+
+
+def test_writers_that_commit_at_once_lose_nothing(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "store"))
+    threads = [threading.Thread(target=log.add, args=(f"run{k}",)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(log.latest().live) == [f"run{k}" for k in range(8)] and log.latest().number == 8
+    assert not [n for n in os.listdir(tmp_path / "store" / "log") if n.endswith(".draft")]
+    with pytest.raises(RuntimeError, match="another writer"):
+        log.replace(["run1", "gone"], "merged")
+
+
+# Windows that reach the scan
+
+START = datetime(2020, 2, 1)
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """300 000 records of one series and 30 000 of another, a second apart, out of order."""
+    sizes = {"hot": 300_000, "small": 30_000}
+    parts = [
+        spark.range(n).select(
+            F.lit("f").alias("source"), F.lit(spec).alias("spec_id"), F.lit(0).cast("bigint").alias("block"),
+            F.col("id").alias("seq"), F.timestamp_add("SECOND", F.col("id"), F.lit(START.isoformat(" ")).cast("timestamp_ntz")).alias("ts"),
+            F.col("id").cast("double").alias("value"), (F.col("id") + 1).alias("count"), F.lit(1000.0).alias("delta"),
+        )
+        for spec, n in sizes.items()
+    ]
+    return parts[0].unionByName(parts[1]).repartition(6)
+
+
+def test_stored_records_are_read_by_window(spark, many, tmp_path):
+    path = str(tmp_path / "records")
+    write_records(many, path)
+    for seconds in (100, 40_000):
+        window = Window(START + timedelta(seconds=1000), START + timedelta(seconds=1000 + seconds))
+        rows = read_records(spark, path, window)
+        count, plan = scans(rows.where("spec_id = 'hot'").select("value"))
+        assert rows.where("spec_id = 'hot'").count() == seconds + 1
+        assert seconds < count <= seconds + 3 * 20_000  # whole pages of 20 000 rows at either end
+        assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(us,\d+\), LessThanOrEqual\(us,\d+\)", plan)
+
+
+def test_series_and_ranges_read_only_their_windows(spark, many):
+    stored = stage(sorted_by_time(many.coalesce(2)))
+    bound = spark.createDataFrame(
+        [(0, 0, "f", "hot", "t", "y", "value"), (0, 1, "f", "small", "t", "y", "count")],
+        "panel_ix int, line_ix int, source string, spec_id string, title string, axis string, measure string",
+    )
+    everything = scans(series.chart_series(bound, stored))[0]
+    for length in (200, 20_000):
+        windows = stage(spark.createDataFrame(
+            [(0, START + timedelta(seconds=50_000), START + timedelta(seconds=50_000 + length))],
+            "panel_ix int, start timestamp_ntz, end timestamp_ntz",
+        ))
+        clipped = series.chart_series(bound, stored, windows)
+        count, plan = scans(clipped)
+        assert clipped.count() == length + 1 and count < length + 120_000 < everything == 330_000
+        assert "GreaterThanOrEqual(us," in plan and "LessThanOrEqual(us," in plan
+        present = ranges.lines_in_range(bound, windows, stored)
+        assert "LessThan(us," in scans(present)[1]
+        assert [r.has_data for r in present.orderBy("line_ix").collect()] == [True, False]
+    nothing = windows.select("panel_ix", *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("start", "end")])
+    assert series.chart_series(bound, stored, nothing).count() == 0
+
+
+def test_layout_spreads_a_hot_series(spark, many):
+    parts = laid_out(many).select("spec_id", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) >= 2 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    first = laid_out(many).select("us", "spec_id", F.spark_partition_id().alias("p")).groupBy("spec_id", "p").agg(
+        F.min("us").alias("low"), F.max("us").alias("high")
+    )
+    spans = sorted((r.spec_id, r.low, r.high) for r in first.collect())
+    for (spec, _, high), (after, low, _) in zip(spans, spans[1:]):
+        assert spec != after or high < low
+
+
+def test_csv_parts_follow_record_order(spark, many, tmp_path):
+    write_records_csv(many.where("count <= 5000"), str(tmp_path / "csv"), file_rows=700)
+    folder = tmp_path / "csv" / "source=f" / "spec_id=hot"
+    counts, parts = [], sorted(folder.glob("part-*"))
+    for part in parts:
+        rows = part.read_text().splitlines()
+        assert rows[0] == "date,time,value,count,delta" and len(rows) <= 701
+        counts += [int(row.split(",")[3]) for row in rows[1:]]
+    assert len(parts) >= 8 and counts == list(range(1, 5001))
+
+
+def test_scratch_tables_go_when_their_block_ends(spark, tmp_path):
+    with ll.scratch(spark, str(tmp_path)) as outer:
+        first = stage(spark.range(5))
+        with ll.scratch(spark) as inner:
+            assert inner.startswith(outer) and stage(spark.range(3)).count() == 3
+            kept = stage(spark.range(7), path=str(tmp_path / "kept"))
+        assert not os.path.exists(inner) and first.count() == 5
+    assert os.listdir(tmp_path) == ["kept"] and kept.count() == 7
+    with pytest.raises(ValueError):
+        with ll.scratch(spark, str(tmp_path)):
+            stage(spark.range(1))
+            raise ValueError
+    assert os.listdir(tmp_path) == ["kept"]
