@@ -195,6 +195,13 @@ SELECT lang, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars,
     "guard_filter": text_filter("contains(line, 'ung ')"),
     "regex_filter": text_filter("regexp_matches(line, '[a-z]+(tion|keit|ado)[,.] [A-Z]')"),
     "field_shorthand": records(RECORD, ("user", "true", "user_id")),
+    "field_patterns": records(
+        "spec, " + RECORD,
+        ("named", "event_type = 'error'", "ms"),
+        ("flags", "event_type = 'click' AND user_id BETWEEN 10 AND 14", "1.0"),
+        ("lazy", "event_type = 'view'", "user_id"),
+        ("property", "user_id < 10", "1.0"),
+    ),
     "extract_ts": f"WITH {LOGS} SELECT source, event_id, ts, remainder FROM logs",
     "extract_ts_yearless": f"""WITH {LOGS}, {LATER},
 checked AS (SELECT *, NOT (month(ts) = 2 AND day(ts) = 29) AS good FROM later)

@@ -72,6 +72,20 @@ def field_shorthand(spark, folder):
     return numbered(event_lines(spark, folder), spec).select(*RECORD)
 
 
+# The dialect of patterns at work: names of groups, properties, bracket classes and flags in the middle.
+PATTERNS = {
+    "named": FieldValue(r"error_module user=[[:digit:]]+ value=(?<number>\d+\.\d+)(?P<unit_of_it>\p{Ll}+)"),
+    "flags": EventCount(r"(?i:CLICK)_module(?i) USER=1[[:digit:]--[5-9]] "),
+    "lazy": FieldValue(r"(?U)view.* user=(\d+)(?-U) value=[\w&&[^\D]]+"),
+    "property": EventCount(r"\b{start}\p{L}+_module\x20user=\d\b"),
+    "name": FieldValue("us(er"),
+}
+
+
+def field_patterns(spark, folder):
+    return labelled(numbered(event_lines(spark, folder), *PATTERNS.values()), PATTERNS).select("spec", *RECORD)
+
+
 # Timestamps
 
 
@@ -230,11 +244,11 @@ SHARED_PANELS = [
 
 def laid_out(spark, folder, panels, per_file_panels=False):
     """Bound lines and the records of all their extractions (one pass)."""
-    rows = layout.bind_rows(panels, INPUTS, per_file_panels)
-    specs, sources = layout.extractions(panels, rows)
+    bound = layout.bind(spark, panels, INPUTS, per_file_panels)
+    specs, sources = layout.extractions(panels, bound)
     lines = event_lines(spark, folder)
     records = sequence.number_hits(extract.hits(lines, specs, DEFAULT, "fail", sources))
-    return layout.bound_table(spark, rows), records
+    return bound, records
 
 
 def shared_records(spark, folder):
@@ -292,19 +306,17 @@ def line_titles(spark, folder):
 # Statistics
 
 
-def unit_values(spark, folder):
-    records = numbered(event_lines(spark, folder), FieldValue("value"))
-    return sequence.values_of(records)
+def unit_hits(spark, folder):
+    return extract.hits(event_lines(spark, folder), [FieldValue("value")], DEFAULT)
 
 
 def stat_summary(spark, folder):
-    totals = stats.summary(unit_values(spark, folder))
+    totals = sequence.summary(unit_hits(spark, folder))
     return totals.select("source", "count", "min", "max", F.round("mean", 6).alias("mean"))
 
 
 def stat_quantiles(spark, folder):
-    values = stage(unit_values(spark, folder), "values")
-    return stats.quantiles(values).drop("spec_id")
+    return stats.quantiles(sequence.plain_values(unit_hits(spark, folder))).drop("spec_id")
 
 
 def stat_quantiles_delta(spark, folder):
@@ -319,8 +331,7 @@ def stat_quantiles_wide(spark, folder):
 
 
 def stat_histogram(spark, folder):
-    values = stage(unit_values(spark, folder), "values")
-    rows = stats.histogram(values).drop("spec_id")
+    rows = stats.histogram(sequence.plain_values(unit_hits(spark, folder))).drop("spec_id")
     return rows.withColumnsRenamed({"start": "bucket_start", "end": "bucket_end"})
 
 
@@ -379,7 +390,7 @@ def aligned(mode, window, spark, folder):
 def staged_layout(spark, folder, mode, window=None):
     """Records stored once, then read for the ranges and again for what the ranges select."""
     bound, records = laid_out(spark, folder, RANGE_PANELS)
-    records = stage(records, "records")
+    records = stage(record_tables.sorted_by_time(records), "records")
     panels = ranges.panel_ranges(
         ranges.bound_line_ranges(bound, ranges.line_ranges(records))
     )
@@ -390,9 +401,10 @@ def staged_layout(spark, folder, mode, window=None):
 def aligned_absolute(spark, folder):
     """The window of every panel, and how many records of its lines lie in it."""
     bound, records, windows = staged_layout(spark, folder, "fixed", ABSOLUTE)
-    drawn = records.select("source", "spec_id", "ts").join(bound, ["source", "spec_id"]).join(windows, "panel_ix")
-    inside = drawn.where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
-    counted = windows.join(inside.groupBy("panel_ix").agg(F.count("*").alias("n")), "panel_ix", "left")
+    near = ranges.inside(records, windows, open_end=True)
+    drawn = near.select("source", "spec_id", "ts").join(bound, ["source", "spec_id"]).join(windows, "panel_ix")
+    drawn = drawn.where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    counted = windows.join(drawn.groupBy("panel_ix").agg(F.count("*").alias("n")), "panel_ix", "left")
     n = F.coalesce("n", F.lit(0)).cast("bigint").alias("n_records")
     return counted.select("panel_ix", "start", "end", n).withColumnsRenamed(RANGE)
 
@@ -456,6 +468,7 @@ QUERIES = {
     "guard_filter": guard_filter,
     "regex_filter": regex_filter,
     "field_shorthand": field_shorthand,
+    "field_patterns": field_patterns,
     "extract_ts": lambda spark, folder: stamped(spark, folder, default_stamp(), DEFAULT.text),
     "extract_ts_yearless": extract_ts_yearless,
     "extract_ts_epoch": extract_ts_epoch,

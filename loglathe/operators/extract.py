@@ -85,9 +85,8 @@ def hits(
 
     One pass over the lines serves all specs. ``value`` is NULL when the captured text is no
     number: such a hit still counts as a match. With ``bad_timestamps='fail'`` the guard-passing
-    lines without a timestamp stay in the result, for the later check of their number: ``us`` is
-    NULL and ``block`` is turned negative, which keeps them apart from the matches of the block.
-    With ``'ignore'`` they are dropped here. ``sources`` limits a spec to some sources.
+    lines without a timestamp stay in the result with ``us`` NULL, for whoever reads it to count
+    them. With ``'ignore'`` they are dropped here. ``sources`` limits a spec to some sources.
     """
     if bad_timestamps not in BadTimestamps:
         raise ValueError(f"bad_timestamps must be one of {BadTimestamps}")
@@ -142,20 +141,15 @@ def hits(
 
     keys = ["source", "block", "seq"]
     exploded = stamped.select("*", *captures).select(
-        *keys, "us", F.explode(F.array(*outcomes)).alias("hit")
+        *keys, "us", F.explode(F.array_compact(F.array(*outcomes))).alias("hit")
     )
-    matches = exploded.where(F.col("hit").isNotNull()).select(
+    matches = exploded.select(
         *keys,
         F.coalesce("hit.spec_id", F.lit("")).alias("spec_id"),
         "us",
         *[f"hit.{name}" for name, _ in _READING],
     )
-    block = F.col("block")
-    if keep_bad:
-        block = F.when(us.isNull(), -1 - block).otherwise(block)
-    return matches.select(
-        "source", "spec_id", block.alias("block"), "seq", "us", value_of().alias("value")
-    )
+    return matches.select("source", "spec_id", "block", "seq", "us", value_of().alias("value"))
 
 
 def audit(lines: DataFrame, specs: Sequence, time_format: TimeFormat) -> DataFrame:
@@ -207,30 +201,51 @@ def audit(lines: DataFrame, specs: Sequence, time_format: TimeFormat) -> DataFra
 
 
 def bad_timestamp_counts(lines: DataFrame, specs: Sequence, time_format: TimeFormat) -> DataFrame:
-    """Per (source, spec): guard-passing lines without a valid timestamp, and the verdict."""
-    counted = audit(lines, specs, time_format)
-    return counted.select(
-        "source",
-        "spec_id",
-        "bad_timestamps",
-        (F.col("bad_timestamps") > TOLERATED_BAD_TIMESTAMPS).alias("aborts"),
+    """Per (source, spec): guard-passing lines without a valid timestamp, and the verdict.
+
+    Only guards and timestamps are looked at; each task adds up its lines.
+    """
+    by_id = {spec.spec_id: spec for spec in specs}
+    line, bad = F.col("line"), F.col("us").isNull()
+    stamped = with_timestamp(_reading(lines).where(line.isNotNull()), time_format)
+    guards = [guarded(spec, line) for spec in by_id.values()]
+    counters = [F.count_if(bad if guard is None else guard & bad) for guard in guards]
+    counted = stamped.groupBy("source").agg(*[c.alias(f"bad_{i}") for i, c in enumerate(counters)])
+    per_spec = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(spec_id).alias("spec_id"), F.col(f"bad_{i}").alias("bad_timestamps"))
+                for i, spec_id in enumerate(by_id)
+            ]
+        )
     )
+    return counted.select("source", per_spec).withColumn(
+        "aborts", F.col("bad_timestamps") > TOLERATED_BAD_TIMESTAMPS
+    )
+
+
+def guarded_lines(lines: DataFrame, spec) -> DataFrame:
+    """The lines that a preview of the spec looks at."""
+    patterns.check_patterns(lines.sparkSession, [spec.regex])
+    guard = guarded(spec, F.col("line"))
+    return _reading(lines).where(F.col("line").isNotNull() if guard is None else guard)
 
 
 def preview(lines: DataFrame, spec, time_format: TimeFormat, count: int = 5) -> DataFrame:
     """How the first ``count`` guard-passing lines fare, step by step.
 
     Lines that fail a step use up the limit too. A top-n by line order, computed per partition
-    and merged.
+    and merged; for files see :func:`plans.logs.match_preview`, which reads only what it needs.
     """
-    patterns.check_patterns(lines.sparkSession, [spec.regex])
-    reading = _reading(lines)
-    guard = guarded(spec, F.col("line"))
-    reading = reading.where(F.col("line").isNotNull() if guard is None else guard)
-    first = reading.orderBy("source", "block", "seq").limit(count)
+    first = guarded_lines(lines, spec).orderBy("source", "block", "seq").limit(count)
+    return stepwise(first, spec, time_format)
+
+
+def stepwise(lines: DataFrame, spec, time_format: TimeFormat) -> DataFrame:
+    """Guard-passing lines with the outcome of every further step."""
     us, rem = F.col("us"), F.col("rem")
     place = ["source", "block", "seq", "line", "us"]
-    matched = with_timestamp(first, time_format).select(
+    matched = with_timestamp(lines, time_format).select(
         *place,
         F.when(us.isNotNull(), rem).alias("remainder"),
         (us.isNotNull() & patterns.found(rem, spec.regex)).alias("matched"),

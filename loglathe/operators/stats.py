@@ -7,6 +7,7 @@ group in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ulp
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,9 +22,9 @@ BUCKETS = 10
 BAR_WIDTH = 50
 BAR = "∎"
 
-# Groups up to this size may be ranked by one task; larger ones are narrowed down first.
-HOT_ROWS = 1 << 22
-_ACCURACY = 10_000
+# Distinct values that one task ranks, and in how many places a piece with more is cut.
+PIECE_ROWS = 1 << 20
+CUTS = 64
 
 
 def match_counts(records: DataFrame, series: DataFrame) -> DataFrame:
@@ -64,29 +65,41 @@ def quantiles(
     keys: Sequence[str] = SERIES,
     value: str = "value",
     probabilities: dict[str, float] | None = None,
-    hot_rows: int = HOT_ROWS,
+    piece_rows: int = PIECE_ROWS,
+    cuts: int = CUTS,
 ) -> DataFrame:
     """Exact interpolated quantiles per group (type 8), one column per entry of ``probabilities``.
 
-    Equal values are first counted together. Groups of at most ``hot_rows`` values are ranked by a
-    window of their own. A larger group is cut at approximate quantiles a little below and above
-    each wanted one; counting the pieces tells which of them hold the wanted ranks, and only these
-    thin pieces are ranked. The approximation decides how thin they are, never what comes out.
+    Equal values are first counted together, so that a group is a list of (value, how often). All
+    wanted ranks of all groups are then closed in on together: a piece, at first a whole group, with
+    more than ``piece_rows`` distinct values is cut at some ``cuts`` approximate quantiles of its
+    own; counting the parts tells which of them hold a wanted rank, and only these go on to the next
+    round. When every piece is bounded, a window ranks each of them. The approximation decides how
+    even the parts are, never what comes out; each round leaves a small share of what it cut.
 
-    ``values`` is read several times; pass a stored or staged table.
+    ``values`` is read once. NaN is above all numbers; nulls do not count.
     """
     probabilities = dict(probabilities or PROBABILITIES)
     keys = list(keys)
     values = values.select(*keys, F.col(value).alias("v")).where(F.col("v").isNotNull())
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = stage(sizes.where(F.col("n") > hot_rows), "hot-groups")
-    n_hot = hot.count()
-    if not n_hot:
-        return _ranked_whole(values, keys, probabilities)
-    cold = attach(values, hot, keys, "left_anti", rows=n_hot)
-    return _ranked_whole(cold, keys, probabilities).unionByName(
-        _ranked_pieces(values, hot, n_hot, keys, probabilities)
-    )
+    counted = stage(values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")), "counted")
+    groups = stage(counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("size")), "groups")
+    n_groups = groups.count()
+    whole, zero = F.lit("").alias("piece"), F.lit(0).cast("bigint").alias("before")
+    rows, pieces = counted.select(*keys, whole, "v", "c"), groups.select(*keys, whole, zero, "n", "size")
+    bounded = []
+    while True:
+        large = stage(pieces.where(F.col("size") > piece_rows).drop("size"), "large")
+        n_large = large.count()
+        here = [*keys, "piece"]
+        if not n_large:
+            bounded.append((rows, pieces))
+            break
+        bounded.append((attach(rows, large.select(*here), here, "left_anti", rows=n_large), pieces))
+        rows, pieces = _narrowed(attach(rows, large.select(*here), here, rows=n_large), large, n_large, keys, probabilities, cuts)
+    ranked = [_ranked(r, p, keys) for r, p in bounded]
+    ranked = attach(reduce(DataFrame.unionByName, ranked), groups.select(*keys, "n"), keys, rows=n_groups)
+    return _interpolated(ranked, keys, probabilities)
 
 
 def _interpolated(ranked: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
@@ -110,80 +123,66 @@ def _interpolated(ranked: DataFrame, keys: list[str], probabilities: dict[str, f
     return picked.select(*keys, *out)
 
 
-def _ranked_whole(values: DataFrame, keys: list[str], probabilities) -> DataFrame:
-    counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.select(
-        *keys, "v", F.sum("c").over(upto).alias("upto"), F.sum("c").over(group).alias("n")
+def _ranked(rows: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v, upto): a window over each piece, after what is below the piece."""
+    here = [*keys, "piece"]
+    upto = Window.partitionBy(*here).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.select(*here, "v", F.sum("c").over(upto).alias("upto"))
+    return attach(ranked, pieces.select(*here, "before"), here).select(
+        *keys, "v", (F.col("before") + F.col("upto")).alias("upto")
     )
-    return _interpolated(ranked, keys, probabilities)
 
 
-def _ranked_pieces(values, hot, n_hot, keys, probabilities) -> DataFrame:
-    margin = 2.0 / _ACCURACY
-    around = sorted(
-        min(max(p + side, 0.0), 1.0) for p in probabilities.values() for side in (-margin, margin)
-    )
-    inside = attach(values, hot, keys, rows=n_hot)
+def _narrowed(rows, pieces, n_pieces, keys, probabilities, cuts) -> tuple[DataFrame, DataFrame]:
+    """The parts of pieces that hold wanted ranks, with their rows; both are stored."""
+    here = [*keys, "piece"]
+    inner = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    # A value between the ends is a cut too: whatever the sketch says, a piece gets smaller.
+    low, high = F.min("v").cast("double"), F.max("v").cast("double")
+    middle = F.greatest(low, F.lit(-1.7e308)) / 2 + high / 2
+    between = F.when((high < float("inf")) & (middle > low) & (middle < high), middle).otherwise(low)
     # Sketches may merge in any order, so the cuts are stored before they are used twice.
-    cuts = stage(
-        inside.groupBy(*keys).agg(
-            F.first("n").alias("n"), F.percentile_approx("v", around, _ACCURACY).alias("cuts")
+    limits = stage(
+        rows.groupBy(*here).agg(
+            F.array_append(F.percentile_approx(F.col("v").cast("double"), inner, 100 * cuts), between).alias("limits")
         ),
-        "cuts",
-    )
-    piece = sum(
-        (F.when(F.col("v") > F.element_at("cuts", i + 1), 1).otherwise(0) for i in range(len(around))),
-        F.lit(0),
+        "limits",
     )
-    pieces = attach(values, cuts, keys, rows=n_hot).select(*keys, "v", piece.alias("piece"))
-
-    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    sized = (
-        attach(
-            pieces.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("size")),
-            cuts.select(*keys, "n"),
-            keys,
-            rows=n_hot,
-        )
-        .withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    above = F.size(F.filter("limits", lambda limit: F.col("v") > limit))
+    part = F.concat_ws(".", "piece", F.lpad(above.cast("string"), 4, "0"))
+    cut = attach(rows, limits, here, rows=n_pieces).select(*here, part.alias("part"), "v", "c")
+
+    parts = cut.groupBy(*here, "part").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("size"))
+    below = Window.partitionBy(*here).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = attach(parts, pieces, here, rows=n_pieces).withColumn(
+        "before", F.col("before") + F.coalesce(F.sum("total").over(below), F.lit(0))
     )
-    wanted_ranks = [r for p in probabilities.values() for r in _ranks(F.col("n"), p)[:2]]
     holds = F.lit(False)
-    for rank in wanted_ranks:
-        holds = holds | ((rank > F.col("before")) & (rank <= F.col("before") + F.col("size")))
-    wanted = stage(sized.where(holds).select(*keys, "piece", "before", "n"), "pieces")
-
-    counted = (
-        attach(pieces, wanted.drop("n"), [*keys, "piece"], rows=n_hot * len(wanted_ranks))
-        .groupBy(*keys, "piece", "before", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    upto = Window.partitionBy(*keys, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = attach(
-        counted.select(*keys, "v", (F.col("before") + F.sum("c").over(upto)).alias("upto")),
-        cuts.select(*keys, "n"),
-        keys,
-        rows=n_hot,
-    )
-    return _interpolated(ranked, keys, probabilities)
+    for p in probabilities.values():
+        for rank in _ranks(F.col("n"), p)[:2]:
+            holds = holds | ((rank > F.col("before")) & (rank <= F.col("before") + F.col("total")))
+    kept = stage(placed.where(holds).select(*keys, F.col("part").alias("piece"), "before", "n", "size"), "parts")
+    renamed = cut.select(*keys, F.col("part").alias("piece"), "v", "c")
+    left = attach(renamed, kept.select(*here), here, "left_semi", rows=n_pieces * (2 * len(probabilities)))
+    return stage(left, "narrowed"), kept
 
 
 def bucket_width(low: Column, high: Column, buckets: int, mode: str = "padded") -> Column:
     """Width of a histogram bucket.
 
     ``padded`` widens the range by the remainder of its whole part divided by the number of
-    buckets; ``equal`` divides the range itself. An infinite range has infinite buckets, the first
-    of which holds every value.
+    buckets; ``equal`` divides the range itself. So does ``padded`` where the range is beyond the
+    largest number: nothing of its whole part is known then.
     """
+    n = F.lit(float(buckets))
     span = high - low
+    equal = F.when(span < float("inf"), span / n).otherwise(high / n - low / n)
     if mode == "equal":
-        return span / F.lit(float(buckets))
+        return equal
     if mode != "padded":
         raise ValueError("mode must be 'padded' or 'equal'")
-    pad = F.floor(F.pmod(span, F.lit(float(buckets)))).cast("double")
-    return (span + pad) / F.lit(float(buckets))
+    pad = F.floor(F.pmod(span, n)).cast("double")
+    return F.when(span < float("inf"), (span + pad) / n).otherwise(equal)
 
 
 def histogram(
@@ -195,22 +194,30 @@ def histogram(
 ) -> DataFrame:
     """``(keys, bucket, start, end, count, bar)``: equal-width buckets, empty ones included.
 
-    Buckets are half-open; a value on the last edge goes to the last bucket. One character of
-    ``bar`` stands for max(1, largest count div 50). ``values`` is read twice; pass a stored or
-    staged table.
+    Buckets are half-open; a value on the last edge goes to the last bucket. They span the finite
+    values: minus infinity counts in the first bucket, infinity and NaN in the last one. One
+    character of ``bar`` stands for max(1, largest count div 50). ``values`` is read twice; pass a
+    stored or staged table.
     """
     keys = list(keys)
     values = values.select(*keys, F.col(value).alias("v")).where(F.col("v").isNotNull())
-    low, high = F.col("low"), F.col("high")
+    low, high, v = F.col("low"), F.col("high"), F.col("v")
+    finite = F.when((v > float("-inf")) & (v < float("inf")), v)
     limits = stage(
         values.groupBy(*keys)
-        .agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        .agg(F.coalesce(F.min(finite), F.lit(0.0)).alias("low"), F.coalesce(F.max(finite), F.lit(0.0)).alias("high"))
         .select(*keys, "low", bucket_width(low, high, buckets, mode).alias("width")),
         "limits",
     )
-    width = F.col("width")
-    index = F.floor((F.col("v") - low) / width)
-    bucket = F.when(width == 0, F.lit(0)).otherwise(F.least(index, F.lit(buckets - 1))).cast("int")
+    width, last = F.col("width"), buckets - 1
+    # Where the distance itself is beyond the largest number, its parts are divided.
+    steps = F.when(v - low < float("inf"), (v - low) / width).otherwise(v / width - low / width)
+    index = F.floor(F.least(steps, F.lit(float(last))))
+    bucket = (
+        F.when(v >= float("inf"), last)  # NaN counts as above infinity
+        .when((v == float("-inf")) | (width == 0), 0)
+        .otherwise(index)
+    ).cast("int")
     counted = (
         attach(values, limits, keys)
         .groupBy(*keys, bucket.alias("bucket"))
@@ -223,11 +230,16 @@ def histogram(
     scale = F.greatest(
         F.call_function("div", F.max("n").over(group), F.lit(BAR_WIDTH)), F.lit(1)
     )
+
+    def edge(number: Column) -> Column:
+        halves = (low / 2 + number * (width / 2)) * 2  # where the whole range is beyond the largest number
+        return F.when(width * F.lit(float(buckets)) < float("inf"), low + number * width).otherwise(halves)
+
     return filled.select(
         *keys,
         "bucket",
-        (low + F.col("bucket") * width).alias("start"),
-        (low + (F.col("bucket") + 1) * width).alias("end"),
+        edge(F.col("bucket")).alias("start"),
+        edge(F.col("bucket") + 1).alias("end"),
         F.col("n").alias("count"),
         F.repeat(F.lit(BAR), F.call_function("div", F.col("n"), scale).cast("int")).alias("bar"),
     )

@@ -1,89 +1,103 @@
 """Binding the lines of panels to input files.
 
-The configuration (panels, lines, input names) is on the driver, and so is what follows from it
-alone: one row per (line, file), a few hundred bytes each. The result is a local relation
+The configuration (panels and their lines) is small and comes from the driver as a local table; the
+inputs are a table ``(input_ix, source)`` of any length, numbered without gaps. Which row gets which
+number follows from the configuration and the number of inputs alone, so binding is one join of the
+two and needs no ordering of the result. It gives
 
 ``bound(panel_ix, line_ix, input_ix, source, kind, guard, pattern, own_id, spec_id, measure, title,
 axis, panel_titles, panel_source, range_mode)``
 
-which Spark joins to data-sized tables (records, ranges, counts) on ``(source, spec_id)``.
+which is joined to data-sized tables (records, ranges, counts) on ``(source, spec_id)``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from pathlib import PurePosixPath
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.staging import tiny_table
-from ..spec import COUNT, DELTA, FIELD, VALUE, Line, Panel
+from ..operators.joins import attach
+from ..sources.staging import stage, tiny_table
+from ..spec import COUNT, DELTA, FIELD, VALUE, Panel
 
 SHARING = ("raw", "regex")
-_SCHEMA = {
-    "panel_ix": "int",
-    "line_ix": "int",
-    "input_ix": "int",
-    "source": "string",
-    "kind": "string",
-    "guard": "string",
-    "pattern": "string",
-    "own_id": "string",
-    "spec_id": "string",
-    "measure": "string",
-    "title": "string",
-    "axis": "string",
-    "panel_titles": "string",
-    "panel_source": "string",
-    "range_mode": "string",
-}
 # panel_titles holds the lines of a panel's heading, separated by this.
 HEADING_SEPARATOR = "\n"
+# Extractions limited to more files than this are filtered by a join instead of lists in the plan.
+LISTED = 1000
+
+_COLUMNS = (
+    "panel_ix", "line_ix", "input_ix", "source", "kind", "guard", "pattern", "own_id", "spec_id", "measure", "title",
+    "axis", "panel_titles", "panel_source", "range_mode",
+)
+# A line's numbers are base + each * (number of inputs) [+ the input's own number].
+_LINES = {
+    "panel_base": "bigint", "panel_each": "bigint", "panel_copies": "boolean", "line_base": "bigint",
+    "line_each": "bigint", "free": "boolean", "file_id": "int", "file_name": "string", "kind": "string",
+    "guard": "string", "pattern": "string", "own_id": "string", "measure": "string", "line_title": "string",
+    "axis": "string", "panel_title": "string", "range_mode": "string",
+}
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """``(input_ix, source)`` for a table of names, numbered in the order of the names.
+
+    The names are dealt out in ranges; each range counts its own, and the ranges' counts, one number
+    per task, say where each one begins.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = sources.select("source").repartitionByRange("source").sortWithinPartitions("source")
+    ranges = stage(placed.select("source", F.spark_partition_id().alias("range"), row.alias("row")), "inputs")
+    sizes = {r["range"]: r["count"] for r in ranges.groupBy("range").count().collect()}
+    starts = [sum(n for other, n in sizes.items() if other < k) for k in sizes]
+    begin = tiny_table(sources.sparkSession, {"range": list(sizes), "begin": starts}, "range int, begin bigint")
+    return ranges.join(F.broadcast(begin), "range").select((F.col("begin") + F.col("row")).cast("int").alias("input_ix"), "source")
 
 
-def bind_rows(
-    panels: Sequence[Panel],
-    inputs: Sequence[str],
-    per_file_panels: bool = False,
-    share: str = "raw",
-) -> list[dict]:
-    """Every line bound to its files, panel by panel; see :func:`bind`."""
-    if share not in SHARING:
-        raise ValueError(f"share must be one of {SHARING}")
+def input_table(spark: SparkSession, inputs: Sequence[str] | DataFrame) -> DataFrame:
+    if isinstance(inputs, DataFrame):
+        return inputs.select(F.col("input_ix").cast("int").alias("input_ix"), "source")
+    return tiny_table(spark, {"input_ix": list(range(len(inputs))), "source": list(inputs)}, "input_ix int, source string")
+
+
+def _lines(panels: Sequence[Panel], per_file_panels: bool, n_inputs: int) -> list[dict]:
+    """The configuration, a row per line of a panel, with what its numbers are made of."""
     rows = []
-    for panel_ix, (panel, placed, panel_source) in enumerate(
-        _expanded(panels, list(inputs), per_file_panels)
-    ):
-        for line_ix, (line, input_ix, source) in enumerate(placed):
+    panel_base = panel_each = 0
+    for panel in panels:
+        free = [line for line in panel.lines if not line.bound]
+        copies = per_file_panels and bool(free)
+        ordered = sorted(panel.lines, key=lambda line: not line.bound) if copies else panel.lines
+        line_base = line_each = 0
+        for line in ordered:
+            if line.file_name is None and line.file_id is not None and not 0 <= line.file_id < n_inputs:
+                raise ValueError(f"file_id {line.file_id} is not one of {n_inputs} inputs")
             spec = line.spec
             rows.append(
                 {
-                    "panel_ix": panel_ix,
-                    "line_ix": line_ix,
-                    "input_ix": input_ix,
-                    "source": source,
-                    "kind": spec.kind,
-                    "guard": spec.guard,
-                    "pattern": spec.raw,
-                    "own_id": spec.spec_id,
-                    "spec_id": spec.spec_id,
-                    "measure": spec.measure,
-                    "title": _line_title(line, source, len(inputs)),
-                    "axis": line.yaxis,
-                    "panel_titles": _heading(panel, panel_source),
-                    "panel_source": panel_source,
-                    "range_mode": panel.range_mode,
+                    "panel_base": panel_base, "panel_each": panel_each, "panel_copies": copies, "line_base": line_base,
+                    "line_each": line_each, "free": not line.bound,
+                    "file_id": line.file_id if line.file_name is None else None, "file_name": line.file_name,
+                    "kind": spec.kind, "guard": spec.guard, "pattern": spec.raw, "own_id": spec.spec_id,
+                    "measure": spec.measure, "line_title": spec.title if line.title is None else line.title,
+                    "axis": line.yaxis, "panel_title": panel.title, "range_mode": panel.range_mode,
                 }
-            )
-    if share == "raw":
-        _share(rows)
+            )
+            if line.bound or copies:
+                line_base += 1
+            else:
+                line_each += 1
+        panel_each += copies
+        panel_base += not copies
     return rows
 
 
 def bind(
     spark: SparkSession,
     panels: Sequence[Panel],
-    inputs: Sequence[str],
+    inputs: Sequence[str] | DataFrame,
     per_file_panels: bool = False,
     share: str = "raw",
 ) -> DataFrame:
@@ -97,77 +111,84 @@ def bind(
     lines read those of a field line with the same guard, pattern text and file, else of the first
     event-value line, else their own (and so count what that line matches). With
     ``share='regex'`` only identical extractions are shared.
-    """
-    return bound_table(spark, bind_rows(panels, inputs, per_file_panels, share))
-
-
-def bound_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    columns = {name: [row[name] for row in rows] for name in _SCHEMA}
-    return tiny_table(spark, columns, ", ".join(f"{n} {t}" for n, t in _SCHEMA.items()))
 
-
-def extractions(panels: Sequence[Panel], rows: list[dict]) -> tuple[list, dict[str, list[str]]]:
-    """The specs to extract for bound rows and, per spec id, the files it is needed on."""
+    ``inputs`` is read several times; a table of many should be staged (see :func:`numbered`).
+    """
+    if share not in SHARING:
+        raise ValueError(f"share must be one of {SHARING}")
+    inputs = input_table(spark, inputs)
+    n = inputs.count()
+    config = _lines(panels, per_file_panels, n)
+    columns = {name: [row[name] for row in config] for name in _LINES}
+    lines = tiny_table(spark, columns, ", ".join(f"{name} {kind}" for name, kind in _LINES.items()))
+
+    # Free lines, and all lines of a copied panel, have a row for every input; others have one.
+    many, own = F.col("free") | F.col("panel_copies"), inputs.withColumnsRenamed({"input_ix": "i", "source": "s"})
+    each = own.join(F.broadcast(lines.where(many)), F.lit(True))
+    one = lines.where(~many).select("*", F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("s"))
+    placed = each.unionByName(one)
+    named = inputs.withColumnsRenamed({"input_ix": "file_id", "source": "file_source"})
+    if any(row["file_id"] is not None for row in config):
+        wanted = [row["file_id"] for row in config if row["file_id"] is not None]
+        named = F.broadcast(named.where(F.col("file_id").isin(wanted)))  # a row per bound line at most
+        placed = placed.join(named, "file_id", "left")
+    else:
+        placed = placed.withColumn("file_source", F.lit(None).cast("string"))
+
+    free, copies = F.col("free"), F.col("panel_copies")
+    source = F.when(free, F.col("s")).otherwise(F.coalesce("file_name", "file_source"))
+    copied = F.when(copies, F.col("s"))
+    panel_ix = F.col("panel_base") + F.col("panel_each") * n + F.when(copies, F.col("i")).otherwise(0)
+    line_ix = F.col("line_base") + F.col("line_each") * n + F.when(free & ~copies, F.col("i")).otherwise(0)
+    title = F.col("line_title")
+    if n > 1:
+        title = F.concat(title, F.lit(" ("), file_stem(source), F.lit(")"))
+    heading = F.concat_ws(HEADING_SEPARATOR, "panel_title", F.concat(F.lit("["), file_stem(copied), F.lit("]")))
+    bound = placed.select(
+        panel_ix.cast("int").alias("panel_ix"), line_ix.cast("int").alias("line_ix"),
+        F.when(free, F.col("i")).otherwise(F.col("file_id")).alias("input_ix"), source.alias("source"),
+        "kind", "guard", "pattern", "own_id", F.col("own_id").alias("spec_id"), "measure",
+        F.when(F.col("axis") == "y2", F.concat(title, F.lit(" | y2"))).otherwise(title).alias("title"), "axis",
+        heading.alias("panel_titles"), copied.alias("panel_source"), "range_mode",
+    )
+    kinds = {row["kind"] for row in config}
+    if share == "raw" and kinds & {COUNT, DELTA} and kinds & {FIELD, VALUE}:
+        bound = _shared(bound)
+    return bound.select(*_COLUMNS)
+
+
+def _shared(bound: DataFrame) -> DataFrame:
+    """Count and delta lines read the records of the first field (else event-value) line with their
+    guard, pattern text and file."""
+    keys = ["guard", "pattern", "source"]
+    first = F.struct((F.col("kind") != FIELD).alias("later"), "panel_ix", "line_ix")
+    known = bound.where(F.col("kind").isin(FIELD, VALUE)).groupBy(*keys).agg(F.min_by("own_id", first).alias("shared_id"))
+    known = known.withColumnsRenamed({k: f"known_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]
+    joined = bound.join(known, F.col("kind").isin(COUNT, DELTA) & same[0] & same[1] & same[2], "left")
+    return joined.withColumn("spec_id", F.coalesce("shared_id", "own_id"))
+
+
+def extractions(panels: Sequence[Panel], bound: DataFrame) -> tuple[list, dict[str, list[str]] | None]:
+    """The specs to extract for bound lines and, per spec id, the files it is needed on (None if
+    these are too many to list: see :func:`only_needed`)."""
     by_id = {line.spec.spec_id: line.spec for panel in panels for line in panel.lines}
-    sources: dict[str, dict[str, None]] = {}
-    for row in rows:
-        sources.setdefault(row["spec_id"], {})[row["source"]] = None
-    return [by_id[spec_id] for spec_id in sources], {i: list(s) for i, s in sources.items()}
-
-
-def _expanded(
-    panels: Sequence[Panel], inputs: list[str], per_file_panels: bool
-) -> Iterator[tuple[Panel, list[tuple[Line, int | None, str]], str | None]]:
-    def fixed(line: Line) -> tuple[Line, int | None, str]:
-        if line.file_name is not None:
-            return line, None, line.file_name
-        if not 0 <= line.file_id < len(inputs):
-            raise ValueError(f"file_id {line.file_id} is not one of {len(inputs)} inputs")
-        return line, line.file_id, inputs[line.file_id]
-
-    for panel in panels:
-        free = [line for line in panel.lines if not line.bound]
-        if per_file_panels and free:
-            first = [fixed(line) for line in panel.lines if line.bound]
-            for i, source in enumerate(inputs):
-                yield panel, first + [(line, i, source) for line in free], source
-            continue
-        placed = []
-        for line in panel.lines:
-            if line.bound:
-                placed.append(fixed(line))
-            else:
-                placed += [(line, i, source) for i, source in enumerate(inputs)]
-        yield panel, placed, None
-
-
-def _share(rows: list[dict]) -> None:
-    def same(row: dict) -> tuple:
-        return row["guard"], row["pattern"], row["source"]
-
-    canonical: dict[tuple, dict] = {}
-    for kind in (FIELD, VALUE):
-        for row in rows:
-            if row["kind"] == kind:
-                canonical.setdefault(same(row), row)
-    for row in rows:
-        if row["kind"] in (COUNT, DELTA) and same(row) in canonical:
-            row["spec_id"] = canonical[same(row)]["own_id"]
-
-
-def file_stem(path: str) -> str:
-    return PurePosixPath(path).stem
+    needed = bound.select("spec_id", "source").distinct()
+    listed = needed.limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:
+        found = {r.spec_id for r in listed}
+        sources = {i: sorted(r.source for r in listed if r.spec_id == i) for i in by_id if i in found}
+    else:
+        found, sources = {r.spec_id for r in needed.select("spec_id").distinct().collect()}, None
+    return [by_id[i] for i in by_id if i in found], sources
 
 
-def _line_title(line: Line, source: str, n_inputs: int) -> str:
-    title = line.spec.title if line.title is None else line.title
-    if n_inputs > 1:
-        title = f"{title} ({file_stem(source)})"
-    return f"{title} | y2" if line.yaxis == "y2" else title
+def only_needed(hits: DataFrame, bound: DataFrame) -> DataFrame:
+    """Hits of (file, spec) pairs that a bound line reads."""
+    return attach(hits, bound.select("source", "spec_id").distinct(), ["source", "spec_id"], "left_semi")
 
 
-def _heading(panel: Panel, panel_source: str | None) -> str:
-    parts = [] if panel.title is None else [panel.title]
-    if panel_source is not None:
-        parts.append(f"[{file_stem(panel_source)}]")
-    return HEADING_SEPARATOR.join(parts)
+def file_stem(path: Column) -> Column:
+    """The last part of a path without its last extension; a leading dot is part of the name."""
+    name = F.regexp_extract(path, "([^/]*)/*$", 1)
+    return F.regexp_replace(name, r"^(.+)\.[^.]+$", "$1")

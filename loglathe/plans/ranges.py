@@ -8,11 +8,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import TimeFormat, epoch_micros
 from ..operators.joins import attach
+from ..sources.records import Window as Span
+from ..sources.records import within
 
 MODES = ("shared-full", "per-panel", "shared-overlap", "fixed")
 
@@ -35,7 +37,7 @@ def bound_line_ranges(bound: DataFrame, ranges: DataFrame) -> DataFrame:
 def global_range(ranged_lines: DataFrame) -> DataFrame:
     """One row: earliest start and latest end; an error if no line has a record."""
     total = ranged_lines.agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    message = F.lit("empty ranges for all lines: no data, bad timestamp or bad pattern")
+    message = F.lit("no line of any panel has a record, so there is no time to show")
     return total.where(F.assert_true(F.col("start").isNotNull(), message).isNull())
 
 
@@ -72,7 +74,7 @@ class Fractions:
 
     def __post_init__(self):
         if not (0.0 <= self.start < self.end <= 1.0):
-            raise ValueError("relative range must be between 0.0 and 1.0, and start < end")
+            raise ValueError("a window of fractions needs 0 <= start < end <= 1")
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ def parse_window(spark, text: str, time_format: TimeFormat = TimeFormat()) -> Fr
     """``"0.25,0.75"`` or two timestamps in the format of the logs, separated by a comma."""
     pieces = [piece.strip() for piece in text.split(",")]
     if len(pieces) != 2:
-        raise ValueError("expected two values separated by a comma")
+        raise ValueError("a window is written as two values with a comma between them")
     try:
         fractions = [float(piece) for piece in pieces]
     except ValueError:
@@ -102,30 +104,29 @@ def align(
 
     ``per-panel`` changes nothing. ``shared-full`` gives all panels the range over all panels,
     which must not be empty. ``shared-overlap`` gives all panels the common part, if there is one.
-    ``fixed`` gives all panels ``window``. The one-task windows run over one row per panel.
+    ``fixed`` gives all panels ``window``. What all panels together give is one row, attached to
+    each of them.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if (mode == "fixed") != (window is not None):
         raise ValueError("a window goes with mode 'fixed'")
-    everything = Window.partitionBy()
     start, end = F.col("start"), F.col("end")
+
+    def with_total(keep: list[str], **totals) -> DataFrame:
+        total = panels.agg(*[value.alias(name) for name, value in totals.items()])  # one row
+        return panels.select(*keep).join(F.broadcast(total), F.lit(True))
+
     if mode == "shared-full":
-        panels = panels.select(
-            "panel_ix",
-            "range_mode",
-            F.min(start).over(everything).alias("start"),
-            F.max(end).over(everything).alias("end"),
-        )
+        panels = with_total(["panel_ix", "range_mode"], start=F.min(start), end=F.max(end))
         message = F.concat(
-            F.lit("incorrect time range for all lines: "),
+            F.lit("the panels together do not span any time: "),
             start.cast("string"), F.lit(" "), end.cast("string"),
         )
         fine = start.isNull() | (start < end)
         panels = panels.where(F.assert_true(fine, message).isNull())
     elif mode == "shared-overlap":
-        low, high = F.max(start).over(everything), F.min(end).over(everything)
-        panels = panels.select("*", low.alias("low"), high.alias("high"))
+        panels = with_total(["*"], low=F.max(start), high=F.min(end))
         common = F.col("low") < F.col("high")
         panels = panels.select(
             "panel_ix",
@@ -134,12 +135,7 @@ def align(
             F.when(common, F.col("high")).otherwise(end).alias("end"),
         )
     elif isinstance(window, Fractions):
-        panels = panels.select(
-            "panel_ix",
-            "range_mode",
-            F.min("full_start").over(everything).alias("low"),
-            F.max("full_end").over(everything).alias("high"),
-        )
+        panels = with_total(["panel_ix", "range_mode"], low=F.min("full_start"), high=F.max("full_end"))
         span = epoch_micros(F.col("high")) - epoch_micros(F.col("low"))
 
         def at(fraction: float):
@@ -159,21 +155,39 @@ def align(
     return panels.select("panel_ix", "range_mode", "start", "end")
 
 
+def overall(windows: DataFrame, open_end: bool = False) -> Span | None:
+    """From the earliest start to the latest end of windows (one row per panel); None without any."""
+    row = windows.agg(F.min("start").alias("start"), F.max("end").alias("end")).first()
+    return None if row.start is None or row.end is None else Span(row.start, row.end, open_end)
+
+
+def inside(records: DataFrame, windows: DataFrame, open_end: bool = False) -> DataFrame:
+    """Records that may lie in one of the windows: a filter with two numbers known before the job.
+
+    It reaches the scan of stored records, whose files are sorted by series and time, and skips
+    what no window touches. Records that are not stored (without ``us``) are returned as they are.
+    """
+    if "us" not in records.columns:
+        return records
+    span = overall(windows, open_end)
+    return records.where(F.lit(False)) if span is None else within(records, span)
+
+
 def lines_in_range(bound: DataFrame, windows: DataFrame, records: DataFrame) -> DataFrame:
     """``(panel_ix, line_ix, source, spec_id, has_data)``: any record with start <= ts < end?
 
     The lines' windows go to the records, not the records to the lines; each task reduces what it
-    reads to one row per line.
+    reads to one row per line. ``windows`` is read twice; pass a staged table.
     """
     keyed = bound.select("panel_ix", "line_ix", "source", "spec_id")
     windowed = keyed.join(windows.select("panel_ix", "start", "end"), "panel_ix", "left")
     ts = F.col("ts")
-    inside = attach(
-        records.select("source", "spec_id", "ts"),
+    hit = attach(
+        inside(records, windows, open_end=True).select("source", "spec_id", "ts"),
         windowed,
         ["source", "spec_id"],
         rows=bound.count(),
     ).where((ts >= F.col("start")) & (ts < F.col("end")))
-    present = inside.groupBy("panel_ix", "line_ix").agg(F.lit(True).alias("has_data"))
+    present = hit.groupBy("panel_ix", "line_ix").agg(F.lit(True).alias("has_data"))
     joined = keyed.join(present, ["panel_ix", "line_ix"], "left")
     return joined.withColumn("has_data", F.coalesce("has_data", F.lit(False)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import attach
+from .ranges import inside
 
 
 def chart_series(
@@ -14,11 +15,13 @@ def chart_series(
     """The points of every bound line that has any.
 
     ``y`` is the value, the running count or the delta, the first delta being 0. With ``windows``
-    (one row per panel) only points with start <= ts <= end are kept, both ends included.
+    (one row per panel, read twice: pass a staged table) only points with start <= ts <= end are
+    kept, both ends included; of stored records nothing outside all windows is read.
     """
     lines = bound.select("panel_ix", "line_ix", "source", "spec_id", "title", "axis", "measure")
     if windows is not None:
         lines = lines.join(windows.select("panel_ix", "start", "end"), "panel_ix")
+        records = inside(records, windows)
     points = attach(
         records.select("source", "spec_id", "ts", "value", "count", "delta"),
         lines,

@@ -73,7 +73,7 @@ def test_order_over_many_splits_and_files(small_splits, tmp_path):
 def demo_logs(tmp_path, n=40):
     paths = []
     for k in range(3):
-        lines = [f"{stamp(i * 10 + k)} om_module x={i}.5ms" if i % 2 else f"{stamp(i * 10 + k)} foo SOME_EVENT"
+        lines = [f"{stamp(i * 10 + k)} pump x={i}.5ms" if i % 2 else f"{stamp(i * 10 + k)} foo valve shut"
                  for i in range(n)]
         paths.append(write(tmp_path / f"log{k}.log", lines))
     return paths
@@ -81,10 +81,10 @@ def demo_logs(tmp_path, n=40):
 
 def test_cat_and_stat(spark, tmp_path):
     paths = demo_logs(tmp_path)
-    spec = ll.FieldValue("x", guard="om_module")
+    spec = ll.FieldValue("x", guard="pump")
     values = [r.value for r in ll.cat(spark, paths[0], spec).orderBy("count").collect()]
     assert values == [i + 0.5 for i in range(1, 40, 2)]
-    deltas = ll.cat(spark, paths[0], ll.EventDelta("SOME_EVENT")).collect()
+    deltas = ll.cat(spark, paths[0], ll.EventDelta("valve shut")).collect()
     assert [r.value for r in deltas] == [20020.0] * 19
     result = ll.stat(spark, paths, spec, buckets=4)
     assert {(r["count"], r["min"], r["max"], r["mean"]) for r in result.summary.collect()} == {(20, 1.5, 39.5, 20.5)}
@@ -100,12 +100,35 @@ def test_preview_of_a_file(spark, tmp_path):
     assert [(r.ts_ok, r.matched, r.value) for r in rows] == [(True, True, 1000.0), (False, False, None)]
 
 
+def test_preview_opens_only_the_files_it_needs(spark, tmp_path):
+    """The last files are broken archives: opening one is an error."""
+    for k in range(4):
+        write(tmp_path / f"{k}.log", [f"{stamp(i)} g x={10 * k + i}" for i in range(2)])
+    for k in range(4, 9):
+        (tmp_path / f"{k}.log.gz").write_bytes(b"no archive")
+    spec = ll.FieldValue("x", guard="g")
+    for count in range(1, 7):
+        rows = ll.match_preview(spark, str(tmp_path), spec, count=count).collect()
+        assert [r.value for r in rows] == [0.0, 1.0, 10.0, 11.0, 20.0, 21.0][:count]
+    with pytest.raises(Exception, match="gzip|GZIP|header"):
+        ll.match_preview(spark, str(tmp_path), spec, count=9).collect()
+
+
+def test_preview_of_many_splits_is_in_line_order(small_splits, tmp_path):
+    spark = small_splits
+    path = write(tmp_path / "a.log", [f"{stamp(i)} {'g' if i % 50 == 7 else 'o'} x={i}" for i in range(2000)])
+    for count in (1, 3, 30):
+        rows = ll.match_preview(spark, path, ll.FieldValue("x", guard="g"), count=count).collect()
+        assert [r.value for r in rows] == [7.0 + 50 * k for k in range(count)]
+    assert ll.match_preview(spark, path, ll.FieldValue("x", guard="nowhere")).collect() == []
+
+
 def test_graph(spark, tmp_path):
     paths = demo_logs(tmp_path)
-    extra = write(tmp_path / "extra.log", [f"{stamp(5000)} foo SOME_EVENT"])
+    extra = write(tmp_path / "extra.log", [f"{stamp(5000)} foo valve shut"])
     panels = [
-        ll.Panel([ll.Line(ll.FieldValue("x", guard="om_module")), ll.Line(ll.EventCount("SOME_EVENT"), yaxis="y2")]),
-        ll.Panel([ll.Line(ll.EventDelta("SOME_EVENT"), file_name=extra), ll.Line(ll.EventCount("nothing"), file_id=1)]),
+        ll.Panel([ll.Line(ll.FieldValue("x", guard="pump")), ll.Line(ll.EventCount("valve shut"), yaxis="y2")]),
+        ll.Panel([ll.Line(ll.EventDelta("valve shut"), file_name=extra), ll.Line(ll.EventCount("nothing"), file_id=1)]),
     ]
     result = ll.graph(spark, panels, paths)
     assert [(r.start, r.end) for r in result.windows.collect()] == [
@@ -114,7 +137,7 @@ def test_graph(spark, tmp_path):
     points = result.series.collect()
     assert len(points) == 3 * 20 * 2 + 1
     assert {p.title for p in points if p.panel_ix == 0 and p.axis == "y2"} == {
-        f"count of SOME_EVENT (log{k}) | y2" for k in range(3)
+        f"count of valve shut (log{k}) | y2" for k in range(3)
     }
     assert [(p.line_ix, p.y) for p in points if p.panel_ix == 1] == [(0, 0.0)]
     counts = sorted(p.y for p in points if p.panel_ix == 0 and p.line_ix == 3)
@@ -134,16 +157,26 @@ def test_graph_with_many_files_per_spec(spark, tmp_path, monkeypatch):
     paths = demo_logs(tmp_path)
     panels = [ll.Panel([ll.Line(ll.FieldValue("x"), file_id=0), ll.Line(ll.EventCount("x"))])]
     listed = ll.graph(spark, panels, paths).records
-    monkeypatch.setattr("loglathe.plans.logs._LISTED_FILES", 0)
+    monkeypatch.setattr("loglathe.plans.layout.LISTED", 0)
     joined = ll.graph(spark, panels, paths).records
     assert listed.exceptAll(joined).isEmpty() and joined.exceptAll(listed).isEmpty()
     assert {r.n for r in joined.groupBy("source", "spec_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {20}
     assert joined.select("source", "spec_id").distinct().count() == 3
 
 
+def test_graph_of_directories_and_globs(spark, tmp_path):
+    paths = demo_logs(tmp_path)
+    panels = [ll.Panel([ll.Line(ll.FieldValue("x")), ll.Line(ll.EventCount("valve shut"), file_id=2)])]
+    columns = ["panel_ix", "line_ix", "title", "axis", "ts", "y"]
+    truth = ll.graph(spark, panels, paths, per_file_panels=True).series.select(*columns)
+    for inputs in (str(tmp_path), f"{tmp_path}/log*.log", [paths[0], f"{tmp_path}/log[12].log"]):
+        got = ll.graph(spark, panels, inputs, per_file_panels=True).series.select(*columns)
+        assert got.exceptAll(truth).isEmpty() and truth.exceptAll(got).isEmpty()
+
+
 def test_records_survive_storage(spark, tmp_path):
     paths = demo_logs(tmp_path)
-    specs = [ll.FieldValue("x", guard="om_module"), ll.EventDelta("SOME_EVENT")]
+    specs = [ll.FieldValue("x", guard="pump"), ll.EventDelta("valve shut")]
     records = read_series(spark, paths, specs)
     write_records(records, str(tmp_path / "store"))
     back = read_records(spark, str(tmp_path / "store")).select(records.columns)
@@ -156,11 +189,11 @@ def test_records_survive_storage(spark, tmp_path):
 
 def test_single_csv_file(spark, tmp_path):
     path = write(tmp_path / "some.csv", [
-        "date,time,value,count,delta", "2025-04-22,20:17:00.194,1.5,1,0", "2025-04-22,20:18:38.118,2,2,97924",
+        "date,time,value,count,delta", "2021-08-30,04:59:59.900,7.25,1,0", "2021-08-30,05:00:01.150,8,3,1250",
     ])
     rows = read_records_csv(spark, path).orderBy("count").collect()
-    assert [r.ts for r in rows] == [datetime(2025, 4, 22, 20, 17, 0, 194000), datetime(2025, 4, 22, 20, 18, 38, 118000)]
-    assert [r.delta for r in rows] == [0.0, 97924.0]
+    assert [r.ts for r in rows] == [datetime(2021, 8, 30, 4, 59, 59, 900000), datetime(2021, 8, 30, 5, 0, 1, 150000)]
+    assert [(r.value, r.delta) for r in rows] == [(7.25, 0.0), (8.0, 1250.0)]
 
 
 def test_refresh(spark, tmp_path):

@@ -1,10 +1,13 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loglathe.operators.sequence import number_hits
+from loglathe.operators import sequence
+from loglathe.operators.sequence import number_hits, plain_values, summary
+from loglathe.sources.staging import stage
 
 
 def make_hits(spark, seed, n=400, block=7):
@@ -41,9 +44,50 @@ def test_equals_one_window_per_series(spark, seed, stride):
     assert got.exceptAll(naive).isEmpty() and naive.exceptAll(got).isEmpty()
 
 
-def test_blocks_are_shuffled_once_and_no_series_in_one_task(spark):
-    records = number_hits(make_hits(spark, 3))
-    records.collect()
-    plan = records._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("ReusedExchange") == 2
-    assert "SinglePartition" not in plan
+def test_lines_are_read_once_and_no_series_is_in_one_task(spark):
+    """The stored hits feed both sides; windows are by block, span, or over one row per span."""
+    plan = number_hits(make_hits(spark, 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and "Relation [" in plan
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and all("block#" in w.rpartition("], [source#")[2] or "span#" in w for w in windows)
+
+
+def test_summary_numbers_and_stores_nothing(spark):
+    hits = make_hits(spark, 5)
+    totals = summary(hits)
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Relation [" not in plan
+    rows = {(r.source, r.spec_id): (r["count"], r["min"], r["max"]) for r in totals.collect()}
+    truth = {}
+    for r in hits.where("value is not null").collect():
+        truth.setdefault((r.source, r.spec_id), []).append(r.value)
+    assert rows == {k: (len(v), min(v), max(v)) for k, v in truth.items()}
+    assert sorted(r.value for r in plain_values(hits).collect()) == sorted(v for x in truth.values() for v in x)
+
+
+def test_bad_lines_are_counted_by_the_tasks_and_not_stored(spark, monkeypatch):
+    """Ten thousand bad lines of many sources, three at most of each: nothing of them is written."""
+    written = []
+    monkeypatch.setattr(sequence, "stage", lambda df, name: written.append(stage(df, name)) or written[-1])
+    bad = spark.range(10_000).selectExpr(
+        "concat('s', id div 3) as source", "'a' as spec_id", "0L as block", "id as seq", "cast(null as bigint) as us",
+        "cast(null as double) as value",
+    )
+    good = spark.createDataFrame([("s1", "a", 0, 5, 1000, 2.5)], bad.schema)
+    records = number_hits(bad.unionByName(good))
+    assert [(r.source, r.value, r["count"]) for r in records.collect()] == [("s1", 2.5, 1)]
+    assert [w.count() for w in written] == [1]
+    with pytest.raises(PySparkException, match="4 lines of s7"):
+        number_hits(bad.unionByName(bad.where("source = 's7'").limit(1)))
+
+
+@pytest.mark.parametrize("bad", [3, 4])
+def test_bad_timestamps_are_counted_without_numbering(spark, bad):
+    rows = [("s", "a", 0, k, k, 1.0 * k) for k in range(5)] + [("s", "a", -1, k, None, None) for k in range(bad)]
+    hits = spark.createDataFrame(rows, "source string, spec_id string, block bigint, seq bigint, us bigint, value double")
+    if bad > 3:
+        for failing in (lambda: summary(hits).collect(), lambda: plain_values(hits)):
+            with pytest.raises(PySparkException, match="4 lines of s"):
+                failing()
+    else:
+        assert summary(hits).first()["count"] == plain_values(hits).count() == 5

@@ -38,16 +38,48 @@ def table(spark, data):
     return spark.createDataFrame(rows, "source string, spec_id string, value double")
 
 
-@pytest.mark.parametrize("hot_rows", [1 << 22, 1000, 2])
-def test_quantiles_equal_sorting(spark, hot_rows):
+@pytest.mark.parametrize("piece_rows, cuts", [(1 << 20, 64), (100, 8), (1, 3)])
+def test_quantiles_equal_sorting(spark, piece_rows, cuts):
     data = groups(5)
-    rows = stats.quantiles(table(spark, data), hot_rows=hot_rows).collect()
+    rows = stats.quantiles(table(spark, data), piece_rows=piece_rows, cuts=cuts).collect()
     assert {r["source"] for r in rows} == set(data) and len(rows) == len(data)
     for row in rows:
         for name, p in stats.PROBABILITIES.items():
             assert row[name] == pytest.approx(type8(data[row["source"]], p), rel=1e-15), (row, name)
 
 
+def test_pieces_are_narrowed_until_all_are_bounded(spark, monkeypatch):
+    """Three rounds and more; each goes on with a small share of the rows, none with a large piece."""
+    rounds, narrowed = [], stats._narrowed
+
+    def watched(rows, *more):
+        left, kept = narrowed(rows, *more)
+        rounds.append((rows.count(), left.count(), max([r["size"] for r in kept.collect()], default=0)))
+        return left, kept
+
+    monkeypatch.setattr(stats, "_narrowed", watched)
+    data = {"long": [float(i * i) for i in range(4000)], "twice": [float(i % 900) for i in range(1800)], "few": [1.0, 4.0]}
+    rows = stats.quantiles(table(spark, data), piece_rows=4, cuts=9).collect()
+    for row in rows:
+        for name, p in stats.PROBABILITIES.items():
+            assert row[name] == pytest.approx(type8(data[row["source"]], p), rel=1e-15)
+    assert len(rounds) >= 3 and rounds[-1][2] <= 4
+    assert all(after < before for before, after, _ in rounds) and rounds[1][1] < rounds[0][0] / 10
+
+
+def test_quantiles_of_odd_values(spark):
+    nan, inf = math.nan, math.inf
+    data = {"ends": [-inf] * 3 + [1.0, 2.0] + [inf] * 3, "nan": [1.0, nan, nan, nan], "close": [1.0, 1.0 + 2**-52, 1.0 + 2**-51]}
+    for piece_rows in (1, 1 << 20):
+        found = {r["source"]: r for r in stats.quantiles(
+            table(spark, data), probabilities={"low": 0.1, "half": 0.5, "high": 0.9}, piece_rows=piece_rows, cuts=2).collect()}
+        assert (found["ends"]["half"], found["nan"]["low"]) == (1.5, 1.0) and math.isnan(found["nan"]["high"])
+        assert found["close"]["half"] == 1.0 + 2**-52
+    with_nulls = table(spark, {"g": [1.0, 3.0]}).unionByName(
+        spark.createDataFrame([("g", "s", None)], "source string, spec_id string, value double"))
+    assert stats.quantiles(with_nulls, probabilities={"half": 0.5}).first()["half"] == 2.0
+
+
 def test_quantile_definition(spark):
     """n = 1130: h = 848.08333 for q75, that is 1/12 of the way between two neighbours."""
     data = {"g": [float(i) for i in range(1, 1131)]}
@@ -58,8 +90,8 @@ def test_quantile_definition(spark):
 def test_quantiles_beyond_the_ends(spark):
     data = {"g": [1.0, 2.0, 3.0]}
     wanted = {"lowest": 0.0, "low": 0.01, "high": 0.99, "highest": 1.0}
-    for hot_rows in (1, 1 << 22):
-        (row,) = stats.quantiles(table(spark, data), probabilities=wanted, hot_rows=hot_rows).collect()
+    for piece_rows in (1, 1 << 20):
+        (row,) = stats.quantiles(table(spark, data), probabilities=wanted, piece_rows=piece_rows).collect()
         assert [row[n] for n in wanted] == [1.0, 1.0, 3.0, 3.0]
 
 
@@ -109,9 +141,19 @@ def test_salted_join_equals_broadcast_join(spark, how):
     assert salted.exceptAll(broadcast).isEmpty() and broadcast.exceptAll(salted).isEmpty()
 
 
-@pytest.mark.parametrize("top", [1e19, float("inf")])
-def test_histogram_of_a_huge_range(spark, top):
-    rows = spark.createDataFrame([("s", "a", 0.0), ("s", "a", top)], "source string, spec_id string, value double")
-    found = histogram(rows).orderBy("bucket").collect()
-    assert sum(r["count"] for r in found) == 2
-    assert [r["count"] for r in found if r["count"]] == ([2] if top == float("inf") else [1, 1])
+@pytest.mark.parametrize(
+    "values, counts",
+    [
+        ([0.0, 1e19], [1, 0, 0, 1]),
+        ([-1.7e308, 0.0, 1.7e308], [1, 0, 1, 1]),  # the range itself is beyond the largest number
+        ([0.0, 8.0, math.inf, math.inf], [1, 0, 0, 3]),
+        ([2.0, -math.inf, 3.0, math.nan], [2, 0, 0, 2]),
+        ([math.inf, -math.inf, math.nan], [1, 0, 0, 2]),
+    ],
+)
+def test_histogram_of_huge_and_infinite_values(spark, values, counts):
+    rows = stats.histogram(table(spark, {"g": values}), 4, mode="equal").orderBy("bucket").collect()
+    assert [r["count"] for r in rows] == counts
+    assert all(math.isfinite(r["start"]) and r["start"] <= r["end"] for r in rows)
+    padded = stats.histogram(table(spark, {"g": values}), 4).collect()
+    assert sum(r["count"] for r in padded) == len(values)
