@@ -26,11 +26,14 @@ highest count all count as best.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,8 @@ PIECE = 1 << 15  # ends that one piece of a merge handles
 MEMO_UNITS = 150_000  # units that a worker remembers, in each of two generations
 PAIR_BITS = 32  # a pair's code is the A id times 2**32 plus the B id, whatever the vocabularies
 _SLICE_CHARS = 1 << 22
-_AT_ONCE = 1 << 14  # new units that are encoded and merged together
+_AT_ONCE = 1 << 15  # new units that are merged together
+_JOINED = 400  # units that are encoded as one text
 _LARGE = 4096  # links of a group beyond which it is multiplied by distinct ids
 _UNSURE = re.compile(r"\s |^ ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -54,10 +58,16 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 
 @dataclass(frozen=True)
 class Vocabularies:
-    """Files of the two tokenizers: A byte-level BPE (JSON), B sentence pieces."""
+    """Files of the two tokenizers: A byte-level BPE (JSON), B sentence pieces.
+
+    A's vocabulary may be given as ranks and a pattern too; these are faster and give the same ids
+    (tested).
+    """
 
     a_path: str
     b_path: str
+    a_ranks_path: str | None = None
+    a_pattern: str | None = None
 
 
 class Coders:
@@ -68,11 +78,12 @@ class Coders:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(files.a_path)
-        self.a.encode_special_tokens = True  # their strings in a text are text
-        sizes = {i: len(token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        slow = Tokenizer.from_file(files.a_path)
+        slow.encode_special_tokens = True  # their strings in a text are text
+        sizes = {i: len(token) for token, i in slow.get_vocab(with_added_tokens=False).items()}
         self.a_sizes = np.zeros(max(sizes) + 1, np.int64)  # a byte is one character of a token
         self.a_sizes[list(sizes)] = list(sizes.values())
+        self.a = _by_ranks(files) if files.a_ranks_path else lambda t: np.array(slow.encode(t, add_special_tokens=False).ids, np.int64)
         self.b = sentencepiece.SentencePieceProcessor(model_file=files.b_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", name) for name in names):
@@ -82,17 +93,55 @@ class Coders:
             for i, name in enumerate(names)
         ]
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids in A and B of each unit (given without its first space), and which come back whole."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
-        texts = [(" " + u).encode() for u in units]
-        piece = self.b_bytes.__getitem__
-        whole = np.fromiter((b"".join(map(piece, ids)) == t for ids, t in zip(b, texts)), bool, len(units))
-        reached = np.append(0, np.cumsum(self.a_sizes[[i for ids in a for i in ids]]))
-        spans = np.diff(reached[np.cumsum([0, *map(len, a)])])
-        return a, b, whole & (spans == list(map(len, texts)))
+        # The unit of a lone space is an empty text to B, so it is taken from behind a letter.
+        self.b_space = self.b.encode("a ")[len(self.b.encode("a")) :]
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """(places of the units that come back whole, ids, number of ids of each): the last two for A
+        and for B. Many units are encoded as one text, as both vocabularies split it between them."""
+        joined = [u for u, unit in enumerate(units) if unit and not unit[-1].isspace()]
+        alone = sorted(set(range(len(units))).difference(joined))
+        todo = [joined[k : k + _JOINED] for k in range(0, len(joined), _JOINED)] + [[u] for u in alone]
+        good, ids, counts = [], ([], []), ([], [])
+        while todo:
+            failed = []
+            texts = [" ".join(units[u] for u in run) for run in todo]
+            for run, text, b in zip(todo, texts, self.b.encode(texts, num_threads=1)):
+                whole = (" " + text).encode()
+                b = b if text else self.b_space
+                ends = np.cumsum([len(units[u].encode()) + 1 for u in run])
+                both = self.a(" " + text), np.array(b, np.int64)
+                parts = [_parts(x, sizes, ends) for x, sizes in zip(both, (self.a_sizes, self.b_sizes))]
+                if any(p is None for p in parts) or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+                    failed += [[u] for u in run] if len(run) > 1 else []
+                    continue
+                good += run
+                for side in (0, 1):
+                    ids[side].append(both[side])
+                    counts[side].append(parts[side])
+            todo = failed
+        none = np.zeros(0, np.int64)
+        return np.array(good, np.int64), *[[np.concatenate(x) if x else none for x in both] for both in (ids, counts)]
+
+
+def _by_ranks(files: Vocabularies) -> Callable[[str], np.ndarray]:
+    import base64
+
+    import tiktoken
+
+    with open(files.a_ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    fast = tiktoken.Encoding("a", pat_str=files.a_pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+
+def _parts(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+    """How many tokens each unit has, None if a unit does not end where a token does."""
+    reached = np.cumsum(sizes[ids])
+    if not len(ids) or reached[-1] != ends[-1]:
+        return None
+    place = np.searchsorted(reached, ends)
+    return np.diff(place, prepend=-1) if (reached[place] == ends).all() else None
 
 
 @lru_cache(maxsize=2)
@@ -165,8 +214,7 @@ def links(a_ids, b_ids, a_from, b_from, a_n, b_n) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
-@dataclass(frozen=True, slots=True)
-class Unit:
+class Unit(NamedTuple):
     """What a unit adds to its text. ``codes`` are its distinct pairs, ``times`` how often each."""
 
     n_a: int
@@ -178,42 +226,52 @@ class Unit:
     times: bytes
 
 
+def written(numbers: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in decimal, each with a byte after it (0: none): the bytes, and where each one ends."""
+    width = len(str(int(numbers.max(initial=0))))
+    table = np.zeros((len(numbers), width + 1), np.uint8)
+    rest = numbers
+    for k in range(width - 1, -1, -1):
+        rest, digit = np.divmod(rest, 10)
+        table[:, k] = np.where((digit > 0) | (rest > 0) | (k == width - 1), digit + 48, 0)
+    table[:, width] = after
+    return table[table > 0], np.cumsum((table > 0).sum(1))
+
+
 def aligned(units: list[str], coder: Coders, piece: int = PIECE) -> list[Unit | None]:
     """The units aligned, None for those that do not come back whole. One merge serves them all."""
-    a, b, whole = coder.encode(units)
-    good = np.flatnonzero(whole)
     found: list[Unit | None] = [None] * len(units)
+    good, (a_ids, b_ids), (n_a, n_b) = coder.encode(units)
     if not len(good):
         return found
-    n_a = np.array([len(a[u]) for u in good])
-    n_b = np.array([len(b[u]) for u in good])
-    a_ids = np.array([i for u in good for i in a[u]], np.int64)
-    b_ids = np.array([i for u in good for i in b[u]], np.int64)
     cut_a, cut_b = common_ends(np.cumsum(coder.a_sizes[a_ids]), np.cumsum(coder.b_sizes[b_ids]), piece)
     # The end of a unit is an end in both, so no group reaches over it.
     size_a, size_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
     from_a, from_b = cut_a + 1 - size_a, cut_b + 1 - size_b
-    owner = np.searchsorted(np.cumsum(n_a), from_a, "right")
+    last_a = np.cumsum(n_a)
+    owner = np.searchsorted(last_a, from_a, "right")
     group, code, times = links(a_ids, b_ids, from_a, from_b, size_a, size_b)
     unit = owner[group]
     order = np.lexsort((code, unit))
     unit, code, times = unit[order], code[order], times[order]
     first = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (code[1:] != code[:-1])))
     code, times, unit = code[first], np.add.reduceat(times, first), unit[first]
-    names_a, names_b = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    texts = [
-        f"{','.join(names_a[x : x + m])}|{','.join(names_b[y : y + n])}"
-        for x, m, y, n in zip(from_a.tolist(), size_a.tolist(), from_b.tolist(), size_b.tolist())
-    ]
-    n_links = np.bincount(owner, size_a * size_b, len(good)).astype(np.int64)
-    groups = np.searchsorted(owner, np.arange(len(good) + 1))
-    pairs = np.searchsorted(unit, np.arange(len(good) + 1))
-    for k, u in enumerate(good.tolist()):
-        g, p = slice(groups[k], groups[k + 1]), slice(pairs[k], pairs[k + 1])
-        found[u] = Unit(
-            int(n_a[k]), int(n_b[k]), int(groups[k + 1] - groups[k]), int(n_links[k]),
-            ";".join(texts[g]).encode(), code[p].tobytes(), times[p].tobytes(),
-        )
+    # The text of the groups: A ids, then B ids of each, with what follows them.
+    at_a, at_b = _ragged(from_a + from_b, size_a), _ragged(cut_a + 1 + from_b, size_b)
+    numbers, after = np.empty(len(a_ids) + len(b_ids), np.int64), np.full(len(a_ids) + len(b_ids), ord(","), np.uint8)
+    numbers[at_a], numbers[at_b] = a_ids, b_ids
+    after[cut_a + from_b], after[cut_a + cut_b + 1] = ord("|"), ord(";")
+    last = last_a + np.cumsum(n_b) - 1
+    after[last] = 0
+    text, reached = written(numbers, after)
+    text, texts = text.tobytes(), [0, *reached[last].tolist()]
+    n_links = np.bincount(owner, size_a * size_b, len(good)).astype(np.int64).tolist()
+    groups = np.bincount(owner, minlength=len(good)).tolist()
+    pairs = [0, *(8 * np.cumsum(np.bincount(unit, minlength=len(good)))).tolist()]
+    codes, times = code.tobytes(), times.tobytes()
+    for k, (u, x, y) in enumerate(zip(good.tolist(), n_a.tolist(), n_b.tolist())):
+        p = slice(pairs[k], pairs[k + 1])
+        found[u] = Unit(x, y, groups[k], n_links[k], text[texts[k] : texts[k + 1]], codes[p], times[p])
     return found
 
 
@@ -251,10 +309,8 @@ class Memo:
         for k in range(0, len(missing), _AT_ONCE):
             some = missing[k : k + _AT_ONCE]
             made.update(zip(some, aligned(some, self.coder)))
-        found = []
-        for u in units:
-            entry = made[u] if u in made else self.young[u] if u in self.young else self.old[u]
-            found.append(entry)
+        found = [made[u] if u in made else self.young[u] if u in self.young else self.old[u] for u in units]
+        for u, entry in zip(units, found):  # only now, as the generations move on
             if len(u) <= 64:
                 self.young[u] = entry
                 if len(self.young) > self.size:
@@ -287,16 +343,15 @@ def block_rows(number: int, ids: list, texts: list[str], memo: Memo) -> pa.Recor
     ``codes`` are the block's distinct pairs and ``docs`` how many of its documents hold each;
     ``sizes``, ``places`` and ``times`` give each unit's links by places in ``codes``.
     """
-    known: dict[str, int] = {}
+    known: dict[str, int] = defaultdict(itertools.count().__next__)
     own = []
     for text in texts:
-        parts = [np.array([known.setdefault(u, len(known)) for u in part], np.int32) for part in units_of(text)]
+        parts = [np.array(list(map(known.__getitem__, part)), np.int32) for part in units_of(text)]
         own.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
     entries = memo.look_up(list(known))
     bad = np.array([e is None for e in entries], bool)
     own = [np.zeros(0, np.int32) if bad[units].any() else units for units in own]
-    table = np.array([[0] * 4 if e is None else [e.n_a, e.n_b, e.n_groups, e.n_links] for e in entries], np.int64)
-    table = table.reshape(-1, 4)
+    table = np.array([(0, 0, 0, 0) if e is None else e[:4] for e in entries], np.int64).reshape(-1, 4)
     digests = [b"" if e is None else e.digest for e in entries]
     code = np.frombuffer(b"".join(e.codes for e in entries if e), np.int64)
     times = np.frombuffer(b"".join(e.times for e in entries if e), np.int64)
@@ -362,11 +417,10 @@ def block_sums(key: tuple, docs: pa.Table, priced: pa.Table) -> pa.Table:
     count[place], best[place] = priced["count"].to_numpy(), priced["best"].to_numpy()
     at = int(np.flatnonzero(docs["sizes"].is_valid().to_numpy())[0])
     sizes, places, times = (_unpacked(docs[c][at].as_py()) for c in ("sizes", "places", "times"))
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    sums = []
+    sums, last = [], np.cumsum(sizes)
     for weight in (best, count):
-        total = np.zeros(len(sizes), np.int64)
-        np.add.at(total, owner, weight[places] * times)
+        reached = np.append(0, np.cumsum(weight[places] * times))
+        total = reached[last] - reached[last - sizes]
         units = (np.cumsum(_unpacked(x.as_py())) for x in docs["units"])
         sums.append([int(total[u].sum()) for u in units])
     return pa.table(
