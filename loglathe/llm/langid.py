@@ -33,6 +33,7 @@ UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 _PIECE = 1 << 20
+_PARTS = 64
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -112,13 +113,20 @@ def document_frequencies(texts: DataFrame, shape: Shape = Shape()) -> tuple[np.n
 
 def sample_of(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """``docs(id, lang, text)`` of the sample: per language the first by hash of the id, up to the
-    bounds of ``shape`` (the rows are cut before the shuffle, the characters among those left)."""
+    bounds of ``shape``.
+
+    Rows are cut in the tasks that read them, then in many parts of each language, then among what
+    the parts have left: no task gets more than ``_PARTS`` times the bound of one language.
+    """
     place = F.xxhash64("id")
-    order = Window.partitionBy("lang").orderBy("place", "id", "n")
     sized = docs.select("id", "lang", F.length("text").alias("n"), place.alias("place"))
-    first = sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shape.rows)
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(_PARTS)))
+    order = Window.partitionBy("lang").orderBy("place", "id", "n")
+    for keys in (["lang", "part"], ["lang"]):
+        own = Window.partitionBy(*keys).orderBy("place", "id", "n")
+        sized = sized.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= shape.rows).drop("rank")
     running = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ids = first.withColumn("upto", running).where(F.col("upto") <= shape.characters).select("id").distinct()
+    ids = sized.withColumn("upto", running).where(F.col("upto") <= shape.characters).select("id").distinct()
     return docs.join(ids, "id", "left_semi").select(place.alias("place"), "id", "lang", "text")
 
 
