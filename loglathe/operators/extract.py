@@ -15,6 +15,9 @@ from ..functions.timestamps import TimeFormat, epoch_micros, micros_to_ts
 TOLERATED_BAD_TIMESTAMPS = 3
 
 BadTimestamps = ("fail", "ignore")
+# More specs than this are met as a table: a plan with all of them spelled out outgrows what the
+# JVM compiles as one method.
+UNROLLED_SPECS = 24
 
 
 def guarded(spec, line: Column) -> Column | None:
@@ -80,10 +83,12 @@ def hits(
     time_format: TimeFormat,
     bad_timestamps: str = "fail",
     sources: Mapping[str, Sequence[str] | None] | None = None,
+    unrolled: int = UNROLLED_SPECS,
 ) -> DataFrame:
     """One row per (line, spec) match: ``source, spec_id, block, seq, us, value``.
 
-    One pass over the lines serves all specs. ``value`` is NULL when the captured text is no
+    One pass over the lines serves all specs; with more than ``unrolled`` of them, a line meets them
+    as a table (see :func:`_outcomes_by_table`). ``value`` is NULL when the captured text is no
     number: such a hit still counts as a match. With ``bad_timestamps='fail'`` the guard-passing
     lines without a timestamp stay in the result with ``us`` NULL, for whoever reads it to count
     them. With ``'ignore'`` they are dropped here. ``sources`` limits a spec to some sources.
@@ -93,6 +98,8 @@ def hits(
     by_id = {spec.spec_id: spec for spec in specs}
     patterns.check_patterns(lines.sparkSession, [s.regex for s in by_id.values()])
     keep_bad = bad_timestamps == "fail"
+    if len(by_id) > unrolled:
+        return _outcomes_by_table(lines, list(by_id.values()), time_format, keep_bad, sources or {})
     line, rem, us = F.col("line"), F.col("rem"), F.col("us")
 
     def selected(spec) -> Column | None:
@@ -152,6 +159,62 @@ def hits(
     return matches.select("source", "spec_id", "block", "seq", "us", value_of().alias("value"))
 
 
+def _outcomes_by_table(
+    lines: DataFrame, specs: list, time_format: TimeFormat, keep_bad: bool, sources: Mapping[str, Sequence[str] | None]
+) -> DataFrame:
+    """:func:`hits` for many specs: the plan is of one size, however many there are.
+
+    The specs are an array of constants. A line keeps those whose guard and required text it has and
+    is copied for these alone, so that the dear part, regex and number, grows with the candidates
+    and not with the specs. Lines without a candidate never have their timestamp parsed.
+    """
+    entries = []
+    for spec in specs:
+        literal, names = patterns.required_text(spec.regex), sources.get(spec.spec_id)
+        field = spec.constant is None
+        fields = {
+            "spec_id": F.lit(spec.spec_id),
+            "guard": F.lit(spec.guard or ""),
+            "literal": F.lit("" if literal == spec.guard else literal),
+            "sources": F.lit(None).cast("array<string>") if names is None else F.array(*map(F.lit, names)).cast("array<string>"),
+            "pattern": F.lit(patterns.java_regex(spec.regex)),
+            "groups": F.lit(min(patterns.group_count(spec.regex), 2) if field else 0),
+            "optional": F.lit(field and patterns.first_group_optional(spec.regex)),
+            "constant": F.lit(spec.constant).cast("double"),
+        }
+        entries.append(F.struct(*[value.alias(name) for name, value in fields.items()]))
+    line, rem, us, spec = F.col("line"), F.col("rem"), F.col("us"), F.col("spec")
+
+    def candidate(entry: Column) -> Column:
+        here = entry["sources"].isNull() | F.array_contains(entry["sources"], F.col("source"))
+        test = here & F.contains(line, entry["guard"])
+        return test if keep_bad else test & F.contains(line, entry["literal"])
+
+    met = _reading(lines).where(line.isNotNull()).select("*", F.filter(F.array(*entries), candidate).alias("specs"))
+    stamped = with_timestamp(met.where(F.size("specs") > 0), time_format)
+    if keep_bad:
+        fits = F.filter("specs", lambda entry: us.isNull() | F.contains(rem, entry["literal"]))
+    else:
+        stamped, fits = stamped.where(us.isNotNull()), F.col("specs")
+    keys = ["source", "block", "seq", "us", "rem"]
+    each = stamped.select(*keys, F.explode(fits).alias("spec"))
+    taken = each.where(us.isNull() | F.regexp_like(rem, spec["pattern"]))
+
+    def captured(group: int) -> Column:
+        text = F.call_function("regexp_extract", rem, spec["pattern"], F.lit(group))
+        return F.when(us.isNotNull() & (spec["groups"] >= group), text)
+
+    number = captured(1)
+    read = taken.select(
+        *keys[:-1],
+        spec["spec_id"].alias("spec_id"),
+        F.when(us.isNotNull(), spec["constant"]).alias("constant"),
+        F.when(spec["optional"] & (number == ""), F.lit("0")).otherwise(number).alias("number"),
+        F.coalesce(captured(2), F.lit("")).alias("unit"),
+    )
+    return read.select("source", F.coalesce("spec_id", F.lit("")).alias("spec_id"), "block", "seq", "us", value_of().alias("value"))
+
+
 def audit(lines: DataFrame, specs: Sequence, time_format: TimeFormat) -> DataFrame:
     """Per (source, spec): lines, guard hits, bad timestamps, pattern misses, matches, records.
 

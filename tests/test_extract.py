@@ -148,6 +148,30 @@ def test_one_pass_for_many_specs(spark, log):
     }
 
 
+@pytest.mark.parametrize("bad", ["fail", "ignore"])
+def test_specs_as_a_table_equal_specs_spelled_out(spark, log, bad):
+    specs = [FieldValue("v", guard="a"), EventCount("b"), EventCount("nothing"), FieldValue("v"), FieldValue(r"load(?: is (\d+)(k)?)?"),
+             FieldValue(r"(?i)V=(\d+)(?<u>us)"), EventValue(r"^ a\b", yvalue=2.5), EventDelta("c|d", guard="v="), EventCount("v=1")]
+    texts = ["a v=1s", "b v=2", "a b", "load", "load is 7k", "V=12us c", "v=3 d", "", "a v=x", "none of it", "a v=1.2.3"]
+    lines = log(*map(at, texts), "bad a v=1", "bad b", None, source="x.log").unionByName(log(*map(at, texts[:4]), source="y.log"))
+    limits = {specs[0].spec_id: ["y.log"], specs[1].spec_id: [], specs[3].spec_id: ["x.log", "y.log"]}
+    for sources in (None, limits):
+        spelled = extract.hits(lines, specs, TimeFormat(), bad, sources)
+        table = extract.hits(lines, specs, TimeFormat(), bad, sources, unrolled=0)
+        assert table.columns == spelled.columns and spelled.count() > 10
+        assert table.exceptAll(spelled).isEmpty() and spelled.exceptAll(table).isEmpty()
+
+
+def test_the_plan_of_many_specs_does_not_grow(spark, log):
+    def plan(n):
+        specs = [FieldValue("v", guard=f"user={i} ") for i in range(n)]
+        return extract.hits(log(at("user=3 v=4")), specs, TimeFormat(), "ignore")._jdf.queryExecution().optimizedPlan().treeString()
+
+    assert len(plan(400).splitlines()) == len(plan(40).splitlines())
+    (row,) = extract.hits(log(at("user=3 v=4")), [FieldValue("v", guard=f"user={i} ") for i in range(400)], TimeFormat()).collect()
+    assert row.value == 4.0
+
+
 def test_specs_limited_to_sources(spark, log):
     lines = log(at("x"), source="a.log").unionByName(log(at("x"), source="b.log"))
     spec = EventCount("x")
