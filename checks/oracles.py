@@ -16,8 +16,12 @@ logs AS (
   FROM events)
 """
 
-TEXT_LINES = """
-pieces AS (SELECT source, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
+
+
+def lines_of(table: str, text: str, source: str) -> str:
+    """CTE ``text_lines(source, line)`` of a table's multi-line texts."""
+    return f"""
+pieces AS (SELECT coalesce({source}, '') AS source, string_split({text}, chr(10)) AS p FROM {table} WHERE {text} <> ''),
 numbered AS (SELECT source, unnest(p) AS line, generate_subscripts(p, 1) AS i, len(p) AS k FROM pieces),
 text_lines AS (
   SELECT source, CASE WHEN ends_with(line, chr(13)) THEN left(line, length(line) - 1) ELSE line END AS line
@@ -25,6 +29,9 @@ text_lines AS (
 """
 
 
+TEXT_LINES = lines_of("documents", "text", "source")
+
+
 def text_filter(condition: str) -> str:
     where = f"WHERE {condition}" if condition else ""
     return f"""WITH {TEXT_LINES}
@@ -194,6 +201,13 @@ SELECT lang, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars,
        max(length(line)) AS longest, count(DISTINCT line) AS n_distinct FROM l GROUP BY lang""",
     "guard_filter": text_filter("contains(line, 'ung ')"),
     "regex_filter": text_filter("regexp_matches(line, '[a-z]+(tion|keit|ado)[,.] [A-Z]')"),
+    "page_lines": f"""WITH {lines_of("pages", "html", "url")}
+SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE contains(line, '<article')) AS n_articles,
+  count(*) FILTER (WHERE regexp_matches(line, '<h1>[^<]{{20,}}(?:</h1>|&[[:alpha:]]+;)')) AS n_headed
+FROM text_lines GROUP BY source""",
+    "conversation_lines": f"""WITH {lines_of("conversations", "text", "role")}
+SELECT source, line, count(*) AS n FROM text_lines
+WHERE regexp_matches(line, '(?i)(?:^| )(?P<word>the|der|que) [[:alpha:]]+[?.!]$') GROUP BY source, line""",
     "field_shorthand": records(RECORD, ("user", "true", "user_id")),
     "field_patterns": records(
         "spec, " + RECORD,

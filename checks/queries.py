@@ -64,6 +64,29 @@ def regex_filter(spark, folder):
     return kept.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+PARAGRAPH = r"<h1>[^<]{20,}(?:</h1>|&[[:alpha:]]+;)"
+ASKED = "(?i)(?:^| )(?P<word>the|der|que) [[:alpha:]]+[?.!]$"
+
+
+def page_lines(spark, folder):
+    """Lines of the markup of every page, and what some patterns find in them."""
+    line = F.col("line")
+    lines = lines_from_text(table(spark, folder, "pages"), "html", "page_id", "url")
+    return lines.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(extract.guarded(EventCount("", guard="<article"), line)).alias("n_articles"),
+        F.count_if(patterns.found(line, PARAGRAPH)).alias("n_headed"),
+    )
+
+
+def conversation_lines(spark, folder):
+    """Lines of what each role says, in the order of conversations and turns, that a pattern finds."""
+    order = F.col("conv_id") * 65_536 + F.col("turn")
+    lines = lines_from_text(table(spark, folder, "conversations"), "text", order, "role")
+    kept = lines.where(patterns.found(F.col("line"), ASKED))
+    return kept.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 REGEX = "[a-z]+(tion|keit|ado)[,.] [A-Z]"
 
 
@@ -467,6 +490,8 @@ QUERIES = {
     "scan_lines": scan_lines,
     "guard_filter": guard_filter,
     "regex_filter": regex_filter,
+    "page_lines": page_lines,
+    "conversation_lines": conversation_lines,
     "field_shorthand": field_shorthand,
     "field_patterns": field_patterns,
     "extract_ts": lambda spark, folder: stamped(spark, folder, default_stamp(), DEFAULT.text),

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglathe.operators import joins, stats
+from loglathe.sources.staging import stage
 
 
 def type8(values, p):
@@ -129,16 +130,31 @@ def test_histogram_of_equal_values(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast_join(spark, how):
-    big = spark.range(2000).select(
-        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 7))).alias("k"),
-        "id",
+def test_joins_with_hot_keys_equal_a_broadcast_join(spark, how):
+    big = spark.range(20_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 9 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k"),
+        (F.col("id") % 10).alias("v"),
     )
-    small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), ("k9", 4)], "k string, x int")
+    small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k33", 3), ("k33", 5), ("k9", 4), (None, 6)], "k string, x int")
     broadcast = joins.attach(big, small, ["k"], how)
-    salted = joins.attach(big, small, ["k"], how, broadcast_rows=0)
-    assert salted.columns == broadcast.columns
-    assert salted.exceptAll(broadcast).isEmpty() and broadcast.exceptAll(salted).isEmpty()
+    split = joins.attach(big, small, ["k"], how, broadcast_bytes=0)
+    assert split.columns == broadcast.columns
+    assert split.exceptAll(broadcast).isEmpty() and broadcast.exceptAll(split).isEmpty()
+
+
+def test_a_hot_group_of_equal_rows_is_joined_where_it_is(spark):
+    """Two thirds of all rows are one and the same; none of them is shuffled to meet its group."""
+    big = spark.range(30_000, numPartitions=6).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.lit(1).alias("v")
+    )
+    small = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.lit(2).alias("x"))
+    small = small.unionByName(spark.createDataFrame([("hot", 9)], small.schema))
+    joined = joins.attach(stage(big), stage(small), ["k"], broadcast_bytes=0)
+    places = joined.where("x = 9").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in places) == 20_000 and len(places) == 6
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 3
+    assert joined.count() == 30_000
 
 
 @pytest.mark.parametrize(
