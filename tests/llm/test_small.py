@@ -247,6 +247,35 @@ def test_neighbours_against_all(spark):
     assert not found and hits / total >= 0.9
 
 
+@pytest.mark.parametrize("dims", [3, 64, 100, 384])
+def test_equal_vectors_go_by_id(spark, dims):
+    """200 equal vectors over several blocks: the five smallest other ids, with one and the same score."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(dims)
+    same = rng.normal(size=dims)
+    vectors = rng.normal(size=(300, dims))
+    vectors[50:250] = same * np.exp2(rng.integers(-3, 3, 200))[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(frame, F.col("vec_id") % 50 == 0, 5, neighbours.Collide(block=64)).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (50, 100, 150, 200):
+        got = sorted(found[q])
+        assert [v for _, v, _ in got] == [i for i in range(50, 57) if i != q][:5]
+        assert len({s for *_, s in got}) == 1
+
+
+def test_huge_and_tiny_vectors(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1e200, 2e200]), (1, [1e-200, 2e-200]), (2, [3e-320, 6e-320]), (3, [1.7e308, -1.7e308]), (4, [2.0, 4.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in neighbours.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert [g[1] for g in got[:2]] == [1, 4] or [g[1] for g in got[:3]] == [1, 2, 4]
+    assert all(abs(s - 1) < 1e-3 for _, _, s in got[:3]) and got[3][1] == 3 and abs(got[3][2] + 1 / np.sqrt(10)) < 1e-12
+
+
 def test_neighbours_of_few(spark):
     from pyspark.sql import functions as F
 
@@ -273,6 +302,96 @@ def test_html_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+LONG = f"{TEXT} {TEXT}"
+
+
+@pytest.mark.parametrize(
+    "names",
+    ['class="content has-sidebar"', 'class="post no-comments"', 'id="search-engine-history"', 'class="post-2 tag-ads comment-count"'],
+)
+def test_names_do_not_decide_on_most_of_a_page(names):
+    page = f"<body><div class='ad'>{TEXT}</div><div {names}><h1>T</h1><p>{LONG}<p>{LONG}</div><div class=comments><p>{LONG}</div>"
+    assert html.main_text(page) == f"T\n{LONG}\n{LONG}"
+
+
+def test_elements_end_where_they_should():
+    page = f'<article><p>{LONG} <span class="ad"><span>A</span> BUY NOW</span> {LONG}</article>'
+    assert html.main_text(page) == f"{LONG}\n{LONG}"
+    assert html.main_text(f'<p title="x>{LONG}<p>{LONG}') == f"{LONG}\n{LONG}"
+    assert html.main_text(f"<p><b>{LONG}<p><i>{LONG}</b></p>") == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 10**5 + "</section>" * 10**5, "<section><article>" + "<div>" * 10**5 + "</section></b>" * 10**5])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    assert html.main_text(page + LONG) == LONG
+    assert time.process_time() - start < 20
+
+
+def test_the_two_passes_decide_without_telling_names():
+    """Only ``div`` without names: what is text is told by length, links, frequent words and neighbours."""
+    menu = "".join(f"<div><a href=/{k}>Entry number {k} of the menu</a></div>" for k in range(6))
+    page = f"<div>Site of things</div>{menu}<div>{LONG}</div><div>Short note.</div><div>{LONG}</div><div>Call 555 0100 now</div>{menu}<div>Imprint</div>"
+    made = html.judge(html.blocks(page))
+    assert [b.text for b in made if b.label == "good"][:3] == [LONG, "Short note.", LONG]
+    assert all(b.label == "bad" for b in made if "menu" in b.text) and made[0].label == made[-1].label == "bad"
+    odd = "xq zrt " * 30  # long, but without a frequent word
+    assert html.main_text(f"<div>{odd}</div><div>{LONG}</div>") == LONG
+
+
+def judged(rows, rules=html.Rules()):
+    """The two passes told once more, block by block, for blocks outside articles and without headings."""
+    first = []
+    for text, linked, apart in rows:
+        words_ = text.lower().split()
+        share = sum(w.strip(".,;:!?\"'()") in html._STOP for w in words_) / len(words_)
+        if apart or linked / len(text) > rules.links:
+            first.append("bad")
+        elif len(text) < rules.short:
+            first.append("short")
+        elif share >= rules.frequent:
+            first.append("good" if len(text) >= rules.long else "near")
+        else:
+            first.append("bad" if len(text) < rules.long or share < rules.frequent / 4 else "near")
+    final = []
+    for i, own in enumerate(first):
+        if own in ("good", "bad"):
+            final.append(own)
+            continue
+        before = next(((i - j, first[j]) for j in range(i - 1, -1, -1) if first[j] in ("good", "bad")), None)
+        after = next(((j - i, first[j]) for j in range(i + 1, len(first)) if first[j] in ("good", "bad")), None)
+        if not {"good", "bad"} & set(first):
+            final.append("good")
+            continue
+        before, after = before or (i + 1, "bad"), after or (len(first) - i, "bad")
+        if before[1] == after[1]:
+            final.append(before[1])
+        else:
+            final.append("good" if own == "near" else before[1] if before[0] <= after[0] else after[1])
+    return final
+
+
+def test_judging_equals_a_plain_walk():
+    rng = random.Random(12)
+    frequent = "the of and to in is that for".split()
+    for _ in range(200):
+        rows = []
+        for _ in range(rng.randint(1, 12)):
+            share = rng.choice([0.0, 0.08, 0.3])
+            text = " ".join(rng.choice(frequent) if rng.random() < share else "xqz" * rng.randint(1, 3) for _ in range(rng.randint(1, 40)))
+            rows.append((text, rng.choice([0, 0, len(text)]), rng.random() < 0.1))
+        made = [html.Block(t, n, apart, (), 0, False) for t, n, apart in rows]
+        assert [b.label for b in html.judge(made)] == judged(rows), rows
+
+
+def test_html_clashing_columns_and_empty_table(spark):
+    frame = spark.createDataFrame([(1, "x", 5, "<p>a")], "page_id long, text string, n_chars int, html string")
+    (row,) = html.extract(frame).collect()
+    assert (row.page_id, row.text, row.n_chars) == (1, "a", 1) and html.extract(frame.limit(0)).count() == 0
+
+
 def test_html_table(spark):
     frame = spark.createDataFrame([(1, "u", None), (2, None, "<p>a")], "page_id long, url string, html string")
     assert sorted(map(str, html.extract(frame).collect())) == sorted(["Row(page_id=1, url='u', text='', n_chars=0)", "Row(page_id=2, url=None, text='a', n_chars=1)"])
@@ -335,11 +454,19 @@ def test_quality_odd_rows(docs, spark):
     assert all(r.good for r in quality.assessed(frame, labels.limit(0), F.col("source"), F.col("lang")).collect())
 
 
+def some_mixer(rule, seed=1):
+    rng = np.random.default_rng(seed)
+    n = len(mixing.CONTEXTS) * rule.slots
+    table = (rng.integers(-3000, 3000, n).astype(np.int16) << 3) | rng.integers(0, 8, n).astype(np.int16)
+    mixer = mixing.averaged(table, rule, [])
+    mixer.weights = rng.normal(0.2, 0.1, mixer.weights.shape).astype(np.float32)
+    mixer.cells = rng.uniform(0.1, 0.9, mixer.cells.shape)
+    return mixer
+
+
 def test_bits_of_all_tokens_sum_to_one():
     rule = mixing.Mixing(slots=1 << 12)
-    packed = (np.random.default_rng(1).integers(-3000, 3000, len(mixing.CONTEXTS) * rule.slots).astype(np.int16) & ~np.int16(3)) | 2
-    mixer = mixing.learn(packed, [b"ab", b"a", b""], np.array([0, 1, 4]), np.array([3.0, 2.0, 1.0]), rule)
-    prefix = mixing.Bits([b"q"], np.array([2]), rule)
+    mixer = some_mixer(rule)
     # the first byte's 256 values share out everything
     total = 0.0
     for b in range(256):
@@ -347,11 +474,80 @@ def test_bits_of_all_tokens_sum_to_one():
         for k, (_, slots, bit) in enumerate(one.steps()):
             if k == 8:
                 break
-            x, gate = mixer.inputs(slots)
-            q = float(mixer.refined((x.T * mixer.weights[gate]).sum(1), gate)[0])
+            x, place, gate = mixer.inputs(slots)
+            q = float(mixer.refined(mixer.odds(x, place), gate)[0])
             p *= q if bit[0] else 1 - q
         total += p
-    assert abs(total - 1) < 1e-9 and prefix.bytes.shape == (1, 2)
+    assert abs(total - 1) < 1e-9
+
+
+def test_mixing_equals_a_plain_loop():
+    import math
+
+    rule, tokens_ = mixing.Mixing(slots=1 << 10), [b"ab", b"", "é".encode(), b"x" * 100]
+    mixer, k, levels = some_mixer(rule), len(mixing.CONTEXTS), mixing.LEVELS
+    state = np.array([0, 4, 2, 1])
+    truth = np.zeros(len(tokens_))
+    for who, slots, bits in mixing.Bits(tokens_, state, rule).steps():
+        for t, own, bit in zip(who, slots.T, bits):
+            found = [int(mixer.packed[s]) for s in own]
+            met = [f & 7 for f in found]
+            best = max((j for j in range(k) if met[j]), default=0 if not any(met) else None)
+            best = best if any(met) else k - 1
+            gate = best * levels + met[best]
+            odds = sum((f >> 3) / 350 * float(mixer.weights[(gate * k + j) * levels + met[j]]) for j, f in enumerate(found))
+            odds = min(max(odds, -15.9), 15.9)
+            p = (1 / (1 + math.exp(-odds)) + mixer.cells[gate][int((odds + 16) * 2)]) / 2
+            p = min(max(p, 2**-22), 1 - 2**-22)
+            truth[t] += math.log10(p if bit else 1 - p)
+    assert np.allclose(mixer.log10(tokens_, state), truth, rtol=1e-4)
+
+
+@pytest.mark.parametrize("task_tokens, fan", [(1 << 18, 32), (9, 2)])
+def test_tables_are_sums_over_all_tokens_of_either_fold(spark, monkeypatch, task_tokens, fan):
+    rng = random.Random(6)
+    rule = mixing.Mixing(slots=1 << 14, task_tokens=task_tokens)
+    monkeypatch.setattr(mixing, "_FAN", fan)
+    rows = [(rng.choice(range(5)), rng.choice(VOCABULARY).encode(), rng.randint(0, 9), rng.choice([0, 3, 2**33])) for _ in range(60)]
+    counts = spark.createDataFrame([(0, *r) for r in rows], "hash long, state byte, word binary, counted long, learnt long").repartition(7)
+    found = mixing.predictors(counts, len(rows), rule)
+    for use, table in zip((lambda r: r[2], lambda r: r[2] + r[3]), found):
+        n = np.zeros((len(mixing.CONTEXTS) * rule.slots, 2))
+        for r in rows:
+            for _, slots, bit in mixing.Bits([r[1]], np.array([r[0]]), rule).steps():
+                n[slots[:, 0], bit[0]] += use(r)
+        assert (table == mixing.packed(n)).all()
+
+
+def test_learning_follows_the_decisions():
+    """The log loss falls, on the tokens learnt from and on others of the kind."""
+    rng = random.Random(2)
+    rule = mixing.Mixing(slots=1 << 14, batch=64)
+    words_ = [rng.choice(VOCABULARY).encode() for _ in range(900)]
+    n = np.zeros((len(mixing.CONTEXTS) * rule.slots, 2))
+    for w in words_[:300]:
+        for _, slots, bit in mixing.Bits([w], np.array([0]), rule).steps():
+            n[slots[:, 0], bit[0]] += 1
+    learner, state = mixing.Learner(mixing.packed(n), rule, 1.0), np.zeros(300, np.int8)
+    before = learner.mixer.log10(words_[600:], state).sum()
+    for _ in range(5):
+        learner.forget()
+        learner.follow(words_[300:600], state, np.ones(300))
+    after = mixing.averaged(learner.mixer.packed, rule, [(1.0, learner.mixer.weights, learner.met, learner.ones)])
+    assert after.log10(words_[600:], state).sum() > before + 15
+
+
+def test_held_out_texts_are_scored_better_than_by_the_base(spark):
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test data")
+    rows = mixing.scores(spark.read.parquet(str(path))).where("held_out")
+    from pyspark.sql import functions as F
+
+    score, base = rows.agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > base
 
 
 def test_scores_of_texts(docs):
@@ -361,7 +557,7 @@ def test_scores_of_texts(docs):
 
     rng = random.Random(7)
     rows = [(i, sentence(rng, rng.randint(0, 40))) for i in range(80)] + [(100, None), (101, ""), (102, "z" * 500), (103, "x " * 3000)]
-    got = {r.id: r for r in mixing.scores(docs(*rows), mixing.Mixing(slots=1 << 13, frequent=16)).collect()}
+    got = {r.id: r for r in mixing.scores(docs(*rows), mixing.Mixing(slots=1 << 13, frequent=16, lessons=1 << 16)).collect()}
     count, tokens = Counter(), {}
     for i, t in rows:
         tokens[i] = [*(t or "").encode().lower().split(), None]
