@@ -3,8 +3,10 @@
 A page is cut into blocks of text at block-level tags. The first pass judges each block by its
 length, the share of its characters inside links and the share of frequent words among its words:
 good, bad, or undecided (short, or neither clearly text nor clearly not). Blocks inside elements
-that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments are bad. In the second pass undecided blocks take the label of their nearest decided
+that are menus, headers, footers, sidebars, forms and the like by their tag are bad. Names in class,
+id or role that speak of such parts, notices, adverts or reader comments count too, unless the
+element so named has most of the page's text, as then the name says something about the text and not
+what it is. In the second pass undecided blocks take the label of their nearest decided
 neighbours; inside an article only neighbours in the article count, and an article in which nothing
 is decided is text.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +48,8 @@ _STOP = frozenset(w for words in FREQUENT.values() for w in words)
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*[^>]*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
+    r"|<(?P<open_end>/?)(?P<open_name>[a-zA-Z][^\s/>]*)(?P<open_rest>[^>]*)>",  # with a quote left open
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -65,40 +69,111 @@ class Rules:
 
 @dataclass
 class Block:
+    """``marks``: the elements around it whose names speak against it; ``apart``: one whose tag does."""
+
     text: str
     linked: int
     apart: bool
+    marks: tuple[int, ...]
     scope: int
     heading: bool
     label: str = ""
 
 
 def _is_apart(name: str, rest: str, inside: int) -> bool:
+    """Does the tag itself tell that an element is no text?"""
     if name in APART:
         return True
     if name == "header":
         return not inside
+    return name not in ("html", "body") and bool(rest) and bool(_HIDDEN.search(rest))
+
+
+def _is_marked(name: str, rest: str) -> bool:
+    """Do the names of an element speak of something else than text?"""
     if name in SCOPE or name in HEADING or name in ("html", "body") or not rest:
         return False
-    if _HIDDEN.search(rest):
-        return True
     words = {w for m in _NAMED.findall(rest) for w in re.split(r"[^a-z]+", m.lower())}
     return bool(words & APART_WORDS)
 
 
+@dataclass(frozen=True, slots=True)
+class _Open:
+    name: str
+    apart: bool
+    marks: tuple[int, ...]
+    scope: int
+    inline: bool = False
+
+
+class _Stack:
+    """Open elements. End tags find theirs without a search where there is none to be found."""
+
+    def __init__(self):
+        self.items = [_Open("", False, (), 0)]
+        self.counts = [Counter()]  # of the names opened within each article, outermost first
+
+    @property
+    def top(self) -> _Open:
+        return self.items[-1]
+
+    def push(self, item: _Open) -> None:
+        self.items.append(item)
+        self.counts[-1][item.name] += 1
+        if item.name in SCOPE:
+            self.counts.append(Counter())
+
+    def pop(self) -> None:
+        item = self.items.pop()
+        if item.name in SCOPE:
+            self.counts.pop()
+        self.counts[-1][item.name] -= 1
+
+    def end(self, name: str) -> None:
+        """Close the nearest element of this name; what was left open inside ends with it. An end tag
+        does not reach out of an article, unless it is the article's own or that of the page, and
+        that of an inline element not out of a block."""
+        inline = name not in BLOCK and name not in APART
+        if name in ("body", "html"):
+            known = any(c[name] for c in self.counts)
+        else:
+            known = self.counts[-1][name] or name in SCOPE and any(c[name] for c in self.counts)
+        if not known:
+            return
+        if inline:
+            for k in range(len(self.items) - 1, 0, -1):
+                if self.items[k].name == name:
+                    break
+                if not self.items[k].inline:
+                    return
+        while self.top.name != name:
+            self.pop()
+        self.pop()
+
+    def next_of(self, name: str) -> None:
+        """A paragraph, item or heading ends where the next one begins."""
+        for k in range(len(self.items) - 1, 0, -1):
+            if self.items[k].name == name:
+                while len(self.items) > k:
+                    self.pop()
+                return
+            if not self.items[k].inline:
+                return
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, undecided. Elements left open end with their parents."""
     made: list[Block] = []
-    # open elements: (name, apart, scope)
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]
+    stack = _Stack()
     parts: list[str] = []
-    linked, links, scopes, breaks, heading = 0, 0, 0, 0, False
+    linked, links, scopes, marked, breaks, heading = 0, 0, 0, 0, 0, False
 
     def close() -> None:
         nonlocal linked, heading, breaks
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            made.append(Block(text, linked, stack[-1][1], stack[-1][2], heading))
+            top = stack.top
+            made.append(Block(text, linked, top.apart, top.marks, top.scope, heading))
         parts.clear()
         linked, heading, breaks = 0, False, 0
 
@@ -115,7 +190,8 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
-        name = (m["name"] or "").lower()
+        name, rest = (m["name"] or m["open_name"] or "").lower(), m["rest"] or m["open_rest"] or ""
+        ends = bool(m["end"] or m["open_end"])
         if not name:
             if m["raw"] and m["raw"].lower() in ("textarea", "title"):
                 close()
@@ -127,44 +203,70 @@ def blocks(page: str) -> list[Block]:
                 close()
             continue
         if name == "a":
-            links = max(0, links + (-1 if m["end"] else 1))
-        if name in BLOCK or name in APART:
+            links = max(0, links + (-1 if ends else 1))
+        is_block = name in BLOCK or name in APART
+        if is_block:
             close()
             links = 0 if name != "a" else links
-        if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE and name not in ("body", "html"):
-                    break  # an end tag does not close an article that it is inside of
-        elif name not in VOID and (name in BLOCK or name in APART or m["rest"]):
-            if name in ("p", "li", "option", *HEADING) and stack[-1][0] == name:
-                stack.pop()  # these end where the next one begins
-            _, apart, scope = stack[-1]
-            if name in SCOPE and not apart:
+        if ends:
+            before = stack.top
+            if not is_block and (before.apart or before.marks):
+                # the text of an inline element that is none ends with it
+                probe = len(stack.items)
+                text, where = list(parts), before
+                stack.end(name)
+                if len(stack.items) < probe and (stack.top.apart, stack.top.marks) != (where.apart, where.marks):
+                    own = " ".join(html.unescape("".join(text)).split())
+                    if own:
+                        made.append(Block(own, linked, where.apart, where.marks, where.scope, heading))
+                    parts.clear()
+                    linked, breaks = 0, 0
+            else:
+                stack.end(name)
+        elif name not in VOID:
+            if name in ("p", "li", "option", *HEADING):
+                stack.next_of(name)
+            top = stack.top
+            scope = top.scope
+            if name in SCOPE and not top.apart:
                 scopes += 1
                 scope = scopes
-            own = _is_apart(name, m["rest"], scope)
-            if own and not apart and name not in BLOCK and name not in APART:
+            apart, marks = top.apart or _is_apart(name, rest, scope), top.marks
+            if _is_marked(name, rest):
+                marked += 1
+                marks = (*marks, marked)
+            if not is_block and (apart, marks) != (top.apart, top.marks):
                 close()  # an inline element that is no text
-            if not m["rest"].rstrip().endswith("/") or name in BLOCK:
-                stack.append((name, apart or own, scope))
-        if name in HEADING and not m["end"]:
+            if not rest.rstrip().endswith("/") or is_block:
+                stack.push(_Open(name, apart, marks, scope, not is_block))
+        if name in HEADING and not ends:
             heading = True
     add(page[at:])
     close()
     return made
 
 
+def _names_that_count(made: list[Block]) -> set[int]:
+    """Marks of elements that have not most of the page's text (characters outside links)."""
+    text, total = Counter(), 0
+    for b in made:
+        if not b.apart:
+            own = max(len(b.text) - b.linked, 0)
+            total += own
+            for mark in b.marks:
+                text[mark] += own
+    return {mark for b in made for mark in b.marks if 2 * text[mark] <= total or b.apart}
+
+
 def judge(made: list[Block], rules: Rules = Rules()) -> list[Block]:
     """Both passes; every block gets the label good or bad."""
+    counting = _names_that_count(made)
     for b in made:
         n = len(b.text)
         density = b.linked / n
         words = b.text.lower().split()
         frequent = sum(w.strip(".,;:!?\"'()") in _STOP for w in words) / len(words)
-        if b.apart or density > rules.links:
+        if b.apart or density > rules.links or not counting.isdisjoint(b.marks):
             b.label = "bad"
         elif not b.scope and ("©" in b.text or "all rights reserved" in b.text.lower()) and n < 2 * rules.long:
             b.label = "bad"
@@ -220,8 +322,9 @@ def main_text(page: str, rules: Rules = Rules()) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", rules: Rules = Rules()) -> DataFrame:
-    """``pages`` without the html but with text and n_chars. A null page is an empty one."""
-    rest = [c for c in pages.columns if c != html_col]
+    """``pages`` without the html but with text and n_chars; columns of these names give way. A null
+    page is an empty one."""
+    rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +336,6 @@ def extract(pages: DataFrame, html_col: str = "html", rules: Rules = Rules()) ->
 
     from pyspark.sql import types as T
 
-    kept = [f for f in pages.schema.fields if f.name != html_col]
+    kept = [f for f in pages.schema.fields if f.name in rest]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return pages.select(F.col(html_col).cast("string").alias("_html"), *rest).mapInArrow(run, schema)
