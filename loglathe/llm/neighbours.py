@@ -40,8 +40,24 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.forall(v, lambda x: F.coalesce(finite(x), F.lit(False))) & F.exists(v, lambda x: x != 0)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that no square over- or underflows; exact, and without effect
+    on a cosine."""
+    _, power = np.frexp(np.abs(vectors).max(1, keepdims=True, initial=0))
+    half = power // 2  # in two steps, as the factor itself may be out of range
+    return np.ldexp(np.ldexp(vectors, -half), half - power)
+
+
+def cosines(vectors: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Cosine of each row with a row of ``other`` (or with its only row), for scaled vectors. Rows are
+    summed one by one in the same way, so that equal vectors have equal cosines."""
+    norm = lambda x: np.sqrt((x * x).sum(1))
+    return (vectors * other).sum(1) / (norm(vectors) * norm(other))
+
+
 def search_block(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rule: Collide) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, cosine): the verified vectors of one block that are nearest to each query."""
+    base, queries = scaled(base), scaled(queries)
     unit = base / np.linalg.norm(base, axis=1, keepdims=True)
     asked = queries / np.linalg.norm(queries, axis=1, keepdims=True)
     unit32, asked32 = unit.astype(np.float32), asked.astype(np.float32)
@@ -76,17 +92,14 @@ def search_block(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queri
             close = similar[found]
             found = found[close >= np.partition(close, -k)[-k] - 1e-5]
         found_by.append(found)
-    rows: list[np.ndarray] = []
+    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for q in range(len(queries)):
         found = found_by[q]
-        exact = base[found] @ queries[q] / (np.linalg.norm(base[found], axis=1) * np.linalg.norm(queries[q]))
+        exact = cosines(base[found], queries[q : q + 1])
         best = np.lexsort((ids[found], -exact))[:k]
-        rows.append(np.stack([np.full(len(best), q), found[best]]))
-    at = np.concatenate(rows, 1) if rows else np.zeros((2, 0), np.int64)
-    exact = np.einsum("ij,ij->i", base[at[1]], queries[at[0]]) / (
-        np.linalg.norm(base[at[1]], axis=1) * np.linalg.norm(queries[at[0]], axis=1)
-    )
-    return query_ids[at[0]], ids[at[1]], exact
+        rows.append((np.full(len(best), query_ids[q]), ids[found[best]], exact[best]))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(none, *rows))
 
 
 def nearest(
