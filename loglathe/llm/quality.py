@@ -24,6 +24,7 @@ from loglathe.llm.toxicity import FREQUENT, _joined
 from loglathe.llm.words import Words, words
 from loglathe.sources.staging import stage
 
+_FEATURES = 12
 SAMPLE = 6000  # labelled texts that the classifier is fitted to, at most
 _UPPER, _LETTER, _DIGIT, _END, _BAR, _SIGN, _LINE, _HIGH, _WHITE = range(9)
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -70,7 +71,7 @@ def features(column: pa.Array) -> np.ndarray:
         )
         made[count == 0] = 0
         rows.append(made)
-    return np.concatenate(rows) if rows else np.zeros((0, 12))
+    return np.concatenate(rows) if rows else np.zeros((0, _FEATURES))
 
 
 def _bent(x: np.ndarray) -> np.ndarray:
@@ -91,9 +92,25 @@ class Evidence:
         return np.clip((_bent(x) / self.scale) @ self.weights - self.prior, -12, 12)
 
 
-def fit(texts: list[str], labels: np.ndarray, ridge: float = 1e-2) -> Evidence:
-    """Newton's method for a logistic rule with a small ridge. Labels of one kind give no evidence."""
-    x = _bent(features(pa.array(texts, pa.string())))
+def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a sample (doc_id, text, label), in the order of ids. The texts stay in
+    the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(batch.column(1).cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+
+    made = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>").toArrow()
+    made = made.sort_by("doc_id")
+    x = made["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return x.reshape(made.num_rows, _FEATURES), made["label"].to_numpy().astype(float)
+
+
+def fit(x: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> Evidence:
+    """Newton's method for a logistic rule with a small ridge, on rows of :func:`features`. Labels of
+    one kind give no evidence."""
+    x = _bent(x)
     scale = np.maximum(np.sqrt((x**2).mean(0)), 1e-9) if len(x) else np.ones(x.shape[1])
     x, weights = x / scale, np.zeros(x.shape[1])
     rate = (labels.sum() + 1) / (len(labels) + 2)
@@ -165,7 +182,7 @@ def sites(evidence: DataFrame, prior: float) -> Sites:
     return Sites(both, rate, _strength(both, "n", "s", F.col("host_rate")))
 
 
-def assessed(
+def assessments(
     docs: DataFrame,
     labels: DataFrame,
     host: Column,
@@ -174,26 +191,37 @@ def assessed(
     where: Column | None = None,
     cutoff: float = 0.5,
 ) -> DataFrame:
-    """``docs`` with (evidence, host_rate, path_rate, quality, good).
+    """The rows of ``docs`` (``_row``) with (evidence, host_rate, path_rate, quality, good) (``_found``).
 
     ``quality`` is the posterior probability of a good document, ``good`` whether it reaches
     ``cutoff``. ``labels`` has (doc_id, quality); at most ``sample`` labelled texts are learnt from,
     those that ``where`` allows. Null hosts and paths are sites of their own, a null text counts as
     empty, repeated rows count as often as they occur; without labels every document is good.
     """
-    rows = labelled_sample(docs, labels, "quality", sample, where)
-    model = fit([r.text for r in rows], np.array([r.label for r in rows], float))
-    own = docs.withColumns({"_host": F.coalesce(host.cast("string"), F.lit("\0")), "_path": F.coalesce(path.cast("string"), F.lit("\0"))})
-    narrow = with_evidence(own.select("text", "_host", "_path"), model).drop("text")
-    known = sites(narrow, model.prior)
-    full = with_evidence(own, model).join(known.table, ["_host", "_path"])
+    model = fit(*sample_features(labelled_sample(docs, labels, "quality", sample, where)))
+    # All columns of a row travel as one, so that no name of theirs matters here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    site = [F.coalesce(x.cast("string"), F.lit("\0")).alias(name) for x, name in ((host, "_host"), (path, "_path"))]
+    text = F.col("text").cast("string").alias("_text")
+    known = sites(with_evidence(docs.select(text, *site), model, "_text").drop("_text"), model.prior)
+    full = with_evidence(docs.select(row, text, *site), model, "_text").join(known.table, ["_host", "_path"])
     p = 1 / (1 + F.exp(-(F.col("_evidence") + model.prior)))
     b = known.strength
     rest = F.greatest(F.col("s") - p, F.lit(0.0)) + b * F.col("host_rate")
-    odds = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) + F.col("_evidence")
-    full = full.withColumn("path_rate", rest / (F.col("n") - 1 + b))
-    full = full.withColumn("quality", 1 / (1 + F.exp(-odds)))
-    return full.select(
-        *docs.columns, F.col("_evidence").alias("evidence"), "host_rate", "path_rate", "quality",
-        (F.col("quality") >= cutoff).alias("good"),
+    full = full.withColumn("_rate", rest / (F.col("n") - 1 + b))
+    odds = F.log(F.col("_rate") / (1 - F.col("_rate"))) + F.col("_evidence")
+    full = full.withColumn("_quality", 1 / (1 + F.exp(-odds)))
+    made = F.struct(
+        F.col("_evidence").alias("evidence"), F.col("host_rate").alias("host_rate"), F.col("_rate").alias("path_rate"),
+        F.col("_quality").alias("quality"), (F.col("_quality") >= cutoff).alias("good"),
     )
+    return full.select("_row", made.alias("_found"))
+
+
+def assessed(docs: DataFrame, *args, **options) -> DataFrame:
+    """``docs`` with (evidence, host_rate, path_rate, quality, good); see :func:`assessments`. Columns
+    of ``docs`` with one of these names give way."""
+    found = assessments(docs, *args, **options)
+    made = found.schema["_found"].dataType.names
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in made]
+    return found.select(*kept, "_found.*")

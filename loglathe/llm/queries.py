@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from loglathe.llm.packing import pack, pieces
 from loglathe.llm.quality import assessed
 from loglathe.llm.repeats import repeated_spans
 from loglathe.llm.sampling import labelled_sample, remainder
-from loglathe.llm.toxicity import Shape, scored, train
+from loglathe.llm.toxicity import Shape, scored, train_on
 from loglathe.llm.winnow import edited_fingerprints
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,11 +43,10 @@ def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with (score, held_out); labels of held-out ids (remainder 1 by 3) are not read."""
-    rows = labelled_sample(docs, labels, "toxic", Shape().sample, remainder("doc_id", 3) != 1)
-    model = train([r.text for r in rows], np.array([r.label for r in rows]))
-    return scored(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
+def toxic(docs: DataFrame, labels: DataFrame, into: str = "score") -> DataFrame:
+    """``docs`` with (``into``, held_out); labels of held-out ids (remainder 1 by 3) are not read."""
+    model = train_on(labelled_sample(docs, labels, "toxic", Shape().sample, remainder("doc_id", 3) != 1))
+    return scored(docs, model, into=into).withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
 
 
 def op4_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +87,9 @@ def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, how=assessed) -> DataFrame:
     """``docs`` with their posterior quality; a source is a host, its languages are its paths."""
-    return assessed(docs, labels, F.col("source"), F.col("lang"), where=remainder("doc_id", 3) != 1)
+    return how(docs, labels, F.col("source"), F.col("lang"), where=remainder("doc_id", 3) != 1)
 
 
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +111,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    files = Vocabularies(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+    )
     return alignments(table(spark, sf_dir, "documents"), files).withColumnRenamed("id", "doc_id")
 
 

@@ -4,12 +4,13 @@ Each word is the sum of hashed embeddings: of the whole word and of its first le
 forms share weights). Filters of several widths run over the words, each is max-pooled over the
 whole text, and a logistic layer gives the score. All of it is trained by Adam on a bounded sample
 of labelled texts. The threshold is calibrated for each language, which is recognised from the text
-by frequent words learnt from the sample; a score is shifted so that its language's threshold is
+by lists of frequent words; a score is shifted so that its language's threshold is
 ``cutoff``.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -174,6 +175,22 @@ def train(texts: list[str], labels: np.ndarray, shape: Shape = Shape()) -> Conv:
     return model
 
 
+def train_on(sample: DataFrame, shape: Shape = Shape()) -> Conv:
+    """Weights from a bounded sample (doc_id, text, label): one task trains, the driver gets the
+    weights, whose size is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("label").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(labels, np.int64), shape))])], names=["model"])
+
+    ordered = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "label")
+    found = ordered.mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else train([], np.zeros(0, np.int64), shape)
+
+
 def _taken(rows: np.ndarray, bounds: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = bounds[part + 1] - bounds[part]
     own = np.concatenate([[0], np.cumsum(lengths)])
@@ -266,9 +283,11 @@ def _thresholds(logits: np.ndarray, labels: np.ndarray, spoken: np.ndarray, held
     return np.array(shifts)
 
 
-def scored(docs: DataFrame, model: Conv, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1). A null or empty text has a score as well, that of
-    no evidence. One pass, no shuffle; the weights (some MB, of fixed size) are broadcast."""
+def scored(docs: DataFrame, model: Conv, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with a column ``into`` (0 to 1); one of that name gives way. A null or empty text has a
+    score as well, that of no evidence. One pass, no shuffle; the weights (some MB, of fixed size)
+    are broadcast."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into or c == text_col])
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast((model, model.tables()))
 
@@ -280,8 +299,8 @@ def scored(docs: DataFrame, model: Conv, text_col: str = "text") -> DataFrame:
                 logits = conv.logits(features(found, conv.shape), found.bounds, table)
                 result.append(_sigmoid(logits + conv.shift[languages(found)]))
             score = np.concatenate(result) if result else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, into])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))

@@ -1,0 +1,266 @@
+"""The pipeline's stages and its parts against brute force, with odd rows and clashing columns."""
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from loglathe.llm import packing, quality, queries, repeats, toxicity
+from loglathe.llm.sampling import labelled_sample
+from loglathe.llm.words import words
+
+WORDS = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"]
+
+
+def text(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+# Repeated passages
+
+
+def spans_of(docs, rows):
+    found = repeats.repeated_spans(docs(*rows)).collect()
+    return {(r.id, r.start, r.end, r.source_id, r.source_start) for r in found}
+
+
+def test_a_match_reaches_as_far_as_both_agree(docs):
+    """Two equal texts of 900 words; a third one, first by id, has a passage out of their middle."""
+    rng = random.Random(1)
+    whole = text(rng, 900)
+    middle = " ".join(whole.split()[278:635])
+    assert spans_of(docs, [(1, whole), (2, whole)]) == {(2, 0, 900, 1, 0)}
+    found = spans_of(docs, [(0, f"{text(rng, 40)} {middle} {text(rng, 40)}"), (1, whole), (2, whole)])
+    assert (2, 0, 900, 1, 0) in found and (1, 278, 635, 0, 40) in found
+    long = text(rng, 5000)
+    assert spans_of(docs, [(3, long), (4, f"x {long} y")]) == {(4, 1, 5001, 3, 0)}
+
+
+def test_spans_cannot_grow_and_cover_every_repeat(docs):
+    rng = random.Random(8)
+    parts = [text(rng, rng.randint(30, 140)) for _ in range(9)]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))) for i in range(24)]
+    own = {i: t.split() for i, t in rows}
+    covered = {i: [False] * len(w) for i, w in own.items()}
+    for i, a, b, j, c in spans_of(docs, rows):
+        x, y = own[i], own[j]
+        assert x[a:b] == y[c : c + b - a] and b - a >= 50 and (j, c) < (i, a)
+        assert not (a and c and x[a - 1] == y[c - 1]) or i == j
+        assert b == len(x) or c + b - a == len(y) or x[b] != y[c + b - a]
+        covered[i][a:b] = [True] * (b - a)
+    first = {}
+    for i, w in own.items():
+        for k in range(len(w) - 49):
+            j, c = first.setdefault(tuple(w[k : k + 50]), (i, k))
+            if (j, c) != (i, k) and (j != i or k - c >= 50):
+                assert all(covered[i][k : k + 50]), (i, k)
+
+
+def test_nothing_of_another_text_is_cut(docs):
+    rng = random.Random(2)
+    shared, own = text(rng, 200), text(rng, 600)
+    frame = docs((0, shared), (1, f"{text(rng, 20)} {shared}"), (1, own), (2, f"{shared} end"), (None, shared), (3, None))
+    left = repeats.without_spans(frame, repeats.repeated_spans(frame)).collect()
+    by_id = {}
+    for r in left:
+        by_id.setdefault(r.doc_id, []).append(r.text)
+    assert own in by_id[1] and len(by_id[1]) == 2 and by_id[2] == [" end"] and by_id[0] == by_id[None] == [shared]
+    assert by_id[3] == [None] and len(left) == 6
+
+
+# Packing
+
+
+def test_pieces_and_sequences_are_whole(docs):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    rows = [(i, text(rng, rng.randint(0, 90))) for i in range(120)] + [(500, None), (501, ""), (7, "again"), (7, "again"), (502, text(rng, 900)), (None, "x"), (503, "<|endoftext|> a")]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    for fast in ({}, {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}):
+        found = packing.pack(packing.pieces(docs(*rows).repartition(5), path, size=256, special=(), **fast) if fast else
+                             packing.pieces(docs(*rows[:-1]).repartition(5), path, size=256), size=256).collect()
+        used = rows if fast else rows[:-1]
+        expected = []
+        for i, t in used:
+            ids = np.append(np.array(slow.encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(0)).astype("<u4")
+            expected += [(str(i), start, n, zlib.crc32(ids[start : start + n].tobytes())) for start, n in packing.cut(len(ids), 256)]
+        assert sorted((str(r.id), r.start, r.length, r.ids_crc32) for r in found) == sorted(expected)
+        sequences = {}
+        for r in found:
+            sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for places in sequences.values():
+            at = 0
+            for offset, length in sorted(places):
+                assert offset == at
+                at += length
+            assert at <= 256
+        total = sum(r.length for r in found)
+        assert len(sequences) <= -(-total // 256) + 2
+    assert packing.pack(packing.pieces(docs((1, "a")).limit(0), path)).count() == 0
+
+
+# Classifiers
+
+
+def test_pooling_equals_a_plain_convolution():
+    rng, shape = random.Random(4), toxicity.Shape(buckets=1 << 8, dims=5, filters=3)
+    model = toxicity.Conv.start(shape)
+    model.bias[:] = np.random.default_rng(1).normal(0, 0.2, len(model.bias))
+    texts = [text(rng, n) for n in (1, 2, 3, 7, 40)] + [""]
+    (found,) = [w for _, _, w in words(pa.array(texts))]
+    rows = toxicity.features(found, shape)
+    pooled, _ = model.pooled(rows, found.bounds)
+    for t in range(len(texts)):
+        own = rows[found.bounds[t] : found.bounds[t + 1]]
+        vectors = [sum(model.embed[b] for b in word) for word in own]
+        reply = []
+        for kernel in model.kernels:
+            width = len(kernel)
+            for f in range(shape.filters):
+                best = [
+                    sum(float(vectors[i + k] @ kernel[k][:, f]) for k in range(width) if i + k < len(vectors))
+                    for i in range(len(vectors))
+                ]  # blank words follow a text
+                reply.append(max(best) if best else 0.0)
+        expected = np.maximum(np.array(reply) + (model.bias if len(own) else 0), 0)
+        assert np.allclose(pooled[t], expected, atol=1e-4)
+
+
+def test_weights_move_against_the_gradient_of_the_loss():
+    rng, shape = random.Random(5), toxicity.Shape(buckets=1 << 8, dims=4, filters=2, rate=1e-4)
+    model = toxicity.Conv.start(shape)
+    model._wants_places = True
+    texts, labels = [text(rng, 12) for _ in range(16)], np.array([0, 1] * 8)
+    (found,) = [w for _, _, w in words(pa.array(texts))]
+    rows = toxicity.features(found, shape)
+
+    def loss():
+        p = toxicity._sigmoid(model.logits(rows, found.bounds))
+        return -np.log(np.where(labels == 1, p, 1 - p)).mean()
+
+    before = loss()
+    moments = {}
+    for step in range(1, 6):
+        toxicity._update(model, rows, found.bounds, labels, np.ones(16), moments, step)
+    assert loss() < before
+
+
+def test_training_in_a_task_equals_training_here(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, 9) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    shape = toxicity.Shape(buckets=1 << 8, steps=40)
+    there = toxicity.train_on(spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4), shape)
+    here = toxicity.train([r[1] for r in rows], np.array([r[2] for r in rows]), shape)
+    assert np.array_equal(there.embed, here.embed) and np.array_equal(there.shift, here.shift)
+    nothing = toxicity.train_on(spark.createDataFrame([], "doc_id long, text string, label int"), shape)
+    assert nothing.out_bias < 0
+
+
+def test_sample_is_bounded_by_rows_and_characters(docs, spark):
+    frame = docs(*[(i, "x" * 10) for i in range(50)], (7, "a different text"), (60, None), (None, "x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(50), 60]] + [(3, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows = labelled_sample(frame, labels, "toxic", 20).collect()
+    assert len(rows) == 20 == len({r.doc_id for r in rows})
+    assert sum(len(r.text) for r in labelled_sample(frame, labels, "toxic", 1000, characters=95).collect()) <= 95
+    every = {r.doc_id: (r.text, r.label) for r in labelled_sample(frame, labels, "toxic", 1000).collect()}
+    assert len(every) == 51 and every[7][0] == "a different text" and every[3][1] == 1 and every[60] == ("", 0)
+
+
+def test_quality_equals_its_formulas(docs, spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, 30) if i % 3 else "@@ ## 12 " * 6) for i in range(90)]
+    frame = docs(*rows).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 4)).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 3))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.assessed(frame, labels, F.col("source"), F.col("lang")).collect()}
+    x = quality.features(pa.array([t for _, t in rows]))
+    model = quality.fit(x[:40], np.array([float(i % 3 > 0) for i in range(40)]))
+    evidence = model.ratio(x)
+    p = 1 / (1 + np.exp(-(evidence + model.prior)))
+    host, path = np.arange(90) % 4, np.arange(90) % 3
+    rate = (p.sum() + 1) / 92
+
+    def strength(n, s, centre):
+        keep = n > 1
+        n, s, centre = n[keep], s[keep], (centre * np.ones(len(keep)))[keep]
+        inner = centre * (1 - centre)
+        spread = (n * (s / n - centre) ** 2).sum()
+        between = max((spread - inner.sum()) / n.sum(), 1e-6)
+        return min(max((n * inner).sum() / n.sum() / between - 1, 1.0), 1e5)
+
+    host_n, host_s = np.bincount(host).astype(float), np.bincount(host, p)
+    a = strength(host_n, host_s, rate)
+    host_rate = (host_s + a * rate) / (host_n + a)
+    cell = host * 3 + path
+    n, s = np.bincount(cell, minlength=12).astype(float), np.bincount(cell, p, 12)
+    b = strength(n, s, np.repeat(host_rate, 3))
+    for i in range(90):
+        own = (max(s[cell[i]] - p[i], 0) + b * host_rate[host[i]]) / (n[cell[i]] - 1 + b)
+        odds = np.log(own / (1 - own)) + evidence[i]
+        assert got[i].evidence == pytest.approx(evidence[i]) and got[i].host_rate == pytest.approx(host_rate[host[i]])
+        assert got[i].quality == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9) and got[i].good == (got[i].quality >= 0.5)
+
+
+# The pipeline
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """Documents with junk, insults, copies, near copies and a shared passage, and labels for some."""
+    rng = random.Random(10)
+    passage = text(rng, 70)
+    rows = [(i, text(rng, rng.randint(80, 140))) for i in range(80)]
+    rows += [(100 + i, "|| ## 99 %% " * 20) for i in range(12)]
+    rows += [(200 + i, f"{text(rng, 30)} vile rotten {text(rng, 30)} vile scum") for i in range(24)]
+    rows += [(300, rows[3][1]), (301, rows[3][1].replace("wak", "wal", 1)), (302, f"{text(rng, 50)} {passage}"), (303, f"{passage} {text(rng, 60)}")]
+    rows += [(400, None), (401, ""), (3, rows[3][1]), (None, text(rng, 90)), (402, text(rng, 3000))]
+    columns = ["n", "s", "good", "evidence", "host_rate", "score", "held_out", "id", "_row", "cuts", "component"]
+    frame = spark.createDataFrame([(i, t, "en", f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(rows)],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    frame.withColumns({c: F.lit(f"own {c}") for c in columns}).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(not 100 <= i < 200), int(200 <= i < 300)) for i, _ in rows if i is not None and i < 300]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_take_effect_and_keep_columns(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows, kept = docs.collect(), {}
+    for name, stage_ in corpus_pipeline.STAGES:
+        out = stage_(spark, docs, small)
+        out.write.parquet(path := f"{small}/{name.replace(' ', '-')}")
+        out = spark.read.parquet(path)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns and all(r.good == "own good" and r.score == "own score" for r in out.collect())
+        kept[name], docs = out, out
+    ids = {name: [r.doc_id for r in out.collect()] for name, out in kept.items()}
+    assert not [i for i in ids["quality classifier"] if i is not None and 100 <= i < 200]
+    assert set(range(80)) <= set(ids["quality classifier"]) and set(range(200, 224)) <= set(ids["quality classifier"])
+    assert not [i for i in ids["toxicity"] if i is not None and 200 <= i < 300] and set(range(80)) <= set(ids["toxicity"])
+    near = ids["minhash near-dedup"]
+    assert set(range(80)) <= set(near) and 300 not in near and 301 not in near and {302, 303, 402} <= set(near)
+    last = {r.doc_id: r for r in kept["suffix-array dedup"].collect() if r.doc_id is not None}
+    whole = {r.doc_id: r.text for r in rows if r.doc_id is not None}
+    assert last[302].text == whole[302] and len(last[303].text.split()) == 60 and last[303].n_chars == len(last[303].text)
+    assert all(last[i].text == whole[i] for i in range(80))
+    packed = kept["best-fit packing"]
+    assert sorted({str(r.doc_id) for r in packed.collect()}) == sorted({str(r.doc_id) for r in kept["suffix-array dedup"].collect()})
+
+
+def test_pipeline_of_nothing(spark, small, tmp_path):
+    folder = tmp_path / "empty"
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(folder)).count() == 0
+
+
+def test_queries_of_this_module_are_registered():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
