@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm.neardup import near_duplicates
+from loglathe.llm.quality import assessments
 from loglathe.llm.queries import packed, quality, table, toxic
 from loglathe.llm.repeats import repeated_spans, without_spans
 from loglathe.sources.staging import stage
@@ -13,24 +14,29 @@ from loglathe.sources.staging import stage
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return quality(docs, table(spark, sf_dir, "labels")).where("good").select(*docs.columns)
+    found = quality(docs, table(spark, sf_dir, "labels"), assessments).where("_found.good")
+    return found.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7."""
-    return toxic(docs, table(spark, sf_dir, "labels")).where("score < 0.7").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select("doc_id", "text", row)
+    return toxic(rows, table(spark, sf_dir, "labels")).where("score < 0.7").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
     found = near_duplicates(docs)
-    gone = found.where("component < id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.where("component < id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words or more that an earlier document has; n_chars follows."""
     left = without_spans(docs, repeated_spans(docs))
+    if "n_chars" not in docs.columns:
+        return left
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
