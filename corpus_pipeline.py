@@ -34,7 +34,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words or more that an earlier document has; n_chars follows."""
-    left = without_spans(docs, repeated_spans(docs))
+    left = without_spans(docs, repeated_spans(docs, grouped=True))
     if "n_chars" not in docs.columns:
         return left
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
