@@ -503,6 +503,22 @@ def test_mixing_equals_a_plain_loop():
     assert np.allclose(mixer.log10(tokens_, state), truth, rtol=1e-4)
 
 
+def test_shared_beginnings_are_coded_once():
+    rule, rng = mixing.Mixing(slots=1 << 12), random.Random(8)
+    tokens_ = [rng.choice(VOCABULARY).encode() for _ in range(500)] + [b"", b"x" * 48, b"x" * 100, b"x" * 47 + b"\x00"]
+    state, mixer, seen = np.array([rng.randrange(3) for _ in tokens_]), some_mixer(rule), []
+    truth = np.zeros(len(tokens_))
+    for who, slots, bit in mixing.Bits(tokens_, state, rule).steps():
+        x, place, gate = mixer.inputs(slots)
+        p = mixer.refined(mixer.odds(x, place), gate)
+        truth += np.bincount(who, np.log10(np.where(bit, p, 1 - p)), len(truth))
+    inputs = mixer.inputs
+    mixer.inputs = lambda slots: seen.append(slots.shape[1]) or inputs(slots)
+    assert np.allclose(mixer.log10(tokens_, state), truth, rtol=1e-12, atol=0)
+    different = {(s, a > 0, (w + b" ")[a : i + 1]) for w, s in zip(tokens_, state.tolist()) for a in (0, 48, 96) for i in range(a, min(len(w) + 1, a + 48))}
+    assert sum(seen) <= 8 * len(different) < 8 * sum(len(w) + 1 for w in tokens_) / 2
+
+
 @pytest.mark.parametrize("task_tokens, fan", [(1 << 18, 32), (9, 2)])
 def test_tables_are_sums_over_all_tokens_of_either_fold(spark, monkeypatch, task_tokens, fan):
     rng = random.Random(6)
