@@ -587,5 +587,89 @@ def test_scores_of_texts(docs):
         assert r.score < 0 and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
 
 
+def test_words_before_count(docs):
+    """Texts of the same words: the order that others have is likelier, and so is a text that repeats itself."""
+    import zlib
+
+    rng = random.Random(9)
+    phrase = VOCABULARY[:12]
+    rows = [(i, " ".join(phrase) + " " + sentence(rng, 20)) for i in range(200)]
+    new = [next(i for i in range(k, k + 1000) if zlib.crc32(str(i).encode()) % 5 == 1) for k in (1000, 3000, 5000, 7000)]
+    texts = [phrase, phrase[::-1], VOCABULARY[12:18] * 4, VOCABULARY[12:36]]
+    rows += [(i, " ".join(t)) for i, t in zip(new, texts)]
+    found = mixing.scores(docs(*rows), mixing.Mixing(slots=1 << 13, lessons=1 << 16))
+    got = {r.id: r for r in found.collect()}
+    same, turned, again, once = (got[i] for i in new)
+    assert all(got[i].held_out for i in new) and abs(same.base_score - turned.base_score) < 1e-9
+    assert same.score > turned.score + 5 and again.score > once.score + 5
+    few = mixing.scores(docs(*rows), mixing.Mixing(slots=1 << 13, lessons=1 << 16, frequent=16))
+    assert all(r.n_known == got[r.id].n_known and abs(r.base_score - got[r.id].base_score) < 1e-9 for r in few.collect())
+
+
+def test_tokens_in_their_text_share_out_one():
+    """By a plain loop over the tokens, whose shares of every next token also sum to one."""
+    import math
+
+    rng = random.Random(11)
+    names = np.sort(np.array([rng.getrandbits(64) for _ in range(6)], np.uint64))
+    bits = dict(zip(names.tolist(), (0.3, 0.25, 0.2, 0.15, 0.06, 0.04)))
+    counts, tables = ({}, {}), []
+    learnt = np.array([rng.choice(names.tolist()) for _ in range(80)], np.uint64)
+    for k, (context, name) in enumerate(mixing.followed(learnt, np.zeros(80, np.int64))):
+        for c, f, w in zip(context.tolist(), name.tolist(), learnt.tolist()):
+            counts[k].setdefault(c, {}).setdefault(w, [0, f])[0] += 1
+        flat = [(v[1], c, v[0]) for c, own in counts[k].items() for v in own.values()]
+        f, c, n = (np.array(x, np.uint64) for x in zip(*flat))
+        tables.append(mixing.Followers.of(f, c, n.astype(np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+
+    def share(given, state, trust):
+        earned, had, n = state
+        odds = given / (1 - given) * ((earned + trust) / (had + trust)) / ((n - earned + trust) / (n - had + trust))
+        return odds / (1 + odds)
+
+    def plain(row):
+        out, states, two = [], [[0.0, 0.0, 0] for _ in range(3)], [int(mixing._END)] * 2
+        for t, w in enumerate(row):
+            one = np.array([row[t - 1] if t else mixing._END], np.uint64)
+            pair = mixing._after(np.array([row[t - 2] if t > 1 else mixing._END], np.uint64), one)[0] if t else mixing._END
+            own = row[:t]
+            given = [t / (t + len(set(own))) if t else 0.0]
+            mine = [lambda x: own.count(x) / max(t, 1)]
+            for k, c in enumerate((int(one[0]), int(pair))):
+                seen = counts[k].get(c, {})
+                total = sum(v[0] for v in seen.values())
+                given.append(total / (total + len(seen)) if seen else 0.0)
+                mine.append(lambda x, seen=seen, total=total: seen[x][0] / total if x in seen else 0.0)
+            shares = [share(g, s, 8.0) if g else 0.0 for g, s in zip(given, states)]
+
+            def chain(x):
+                p = [bits[x]]
+                for a, m in zip(shares, mine):
+                    p.append(a * m(x) + (1 - a) * p[-1])
+                return p
+
+            assert math.isclose(sum(chain(x)[-1] for x in bits), 1)
+            p = chain(w)
+            out.append(math.log10(p[-1]))
+            for k in range(3):
+                both = given[k] * mine[k](w) + (1 - given[k]) * p[k]
+                states[k][0] += given[k] * mine[k](w) / both
+                states[k][1] += given[k]
+                states[k][2] += given[k] > 0
+        return out
+
+    rows = [[rng.choice(names.tolist()) for _ in range(n)] for n in (1, 30, 7)]
+    hashes = np.array([w for r in rows for w in r], np.uint64)
+    row = np.repeat(np.arange(3), [len(r) for r in rows])
+    log10 = np.log10([bits[w] for w in hashes.tolist()])
+    got, more = mixing.mixed(log10, np.ones(len(row), bool), hashes, row, tables, 8.0)
+    assert not more.any() and np.allclose(got, [x for r in rows for x in plain(r)], rtol=1e-9)
+    # without their bits, tokens that nothing knows keep what the others leave
+    fresh = np.array([5], np.uint64)
+    got, more = mixing.mixed(np.zeros(1), np.zeros(1, bool), fresh, np.zeros(1, np.int64), tables, 8.0)
+    given = tables[0].trusted(np.array([mixing._END]))[0], tables[1].trusted(np.array([mixing._END]))[0]
+    assert more.all() and math.isclose(got[0], sum(math.log10(1 - g) for g in given))
+
+
 def test_scores_of_an_empty_table(docs):
     assert mixing.scores(docs((1, "a")).limit(0), mixing.Mixing(slots=1 << 13)).count() == 0
