@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loglathe.llm.components import components
 from loglathe.llm.words import mix, shingle_sets, words
-from loglathe.sources.staging import stage
+from loglathe.sources.staging import small_batches, stage
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,7 @@ class NearDup:
     block: int = 1024
     block_grams: int = 1 << 20
     pivot_rows: int = 512
+    batch_rows: int = 1024  # whole texts or sets that a task exchanges with its Python worker at a time
 
     @property
     def size(self) -> int:
@@ -287,6 +288,11 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     repeat an id come out once per row, in the component that any of them reaches. An empty table
     gives an empty result; other columns of ``docs`` play no part.
     """
+    with small_batches(docs.sparkSession, rule.batch_rows):  # every Python step runs in here, none in the result
+        return _components_of(docs, rule, id_col, text_col)
+
+
+def _components_of(docs: DataFrame, rule: NearDup, id_col: str, text_col: str) -> DataFrame:
     known = stage(sketches(docs, rule, id_col, text_col), "sketches")
     full = known.where("n > 0 and id is not null")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))

@@ -66,6 +66,19 @@ def test_near_duplicates(docs):
     assert got == near_truth(rows)
 
 
+def test_near_duplicates_exchange_small_batches(docs, spark, monkeypatch):
+    """Each Python step of the job gets few rows at a time; the session's setting is as before."""
+    name, seen, staged = "spark.sql.execution.arrow.maxRecordsPerBatch", [], neardup.stage
+    monkeypatch.setattr(neardup, "stage", lambda *a: seen.append(int(spark.conf.get(name))) or staged(*a))
+    rng, before = random.Random(12), spark.conf.get(name)
+    rows = [(i, sentence(rng, 12)) for i in range(40)]
+    rows += [(i + 40, t) for i, t in rows]
+    found = neardup.near_duplicates(docs(*rows), neardup.NearDup(batch_rows=7))
+    assert seen and set(seen) == {7} and spark.conf.get(name) == before
+    assert {r.id: r.component for r in found.collect()} == {i: i % 40 for i in range(80)}
+    assert neardup.NearDup().batch_rows <= 1024
+
+
 def test_near_duplicates_odd_rows(docs, spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (5, None)]
     got = sorted((str(r.id), r.n_shingles, str(r.component)) for r in neardup.near_duplicates(docs(*rows)).collect())
