@@ -686,3 +686,43 @@ def test_tokens_in_their_text_share_out_one():
 
 def test_scores_of_an_empty_table(docs):
     assert mixing.scores(docs((1, "a")).limit(0), mixing.Mixing(slots=1 << 13)).count() == 0
+
+
+def test_a_batch_is_tallied_at_once(monkeypatch):
+    """Of the sums over weights' or cells' places only that of the gradient is made at every step."""
+    rule = mixing.Mixing(slots=1 << 10)
+    learner = mixing.Learner(np.zeros(len(mixing.CONTEXTS) * rule.slots, np.int16), rule, 1.0)
+    calls, real = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: calls.append(len(a[0])) or real(*a))
+    learner.follow([b"ab", b"abc", b""], np.zeros(3, np.int8), np.array([1.0, 2.0, 3.0]))
+    assert len(calls) == 4 * 8 + 2
+    assert learner.seen == 8 * (3 + 4 + 1) and learner.met.sum() == 8 * (3 + 2 * 4 + 3)
+
+
+def test_mixing_steps_equal_a_plain_optimiser():
+    rule, rng = mixing.Mixing(slots=1 << 10), np.random.default_rng(3)
+    table = rng.integers(-500, 500, len(mixing.CONTEXTS) * rule.slots).astype(np.int16) * np.int16(8)
+    table += rng.integers(0, 8, len(table)).astype(np.int16)
+    tokens_, state, n = [b"ab", b"q" * 60, b"", b"abc"], np.array([0, 2, 1, 0], np.int8), np.array([1.0, 4.0, 2.0, 1.0])
+    learner = mixing.Learner(table, rule, 2.0)
+    plain = mixing.Mixer(table, mixing._start(rule), np.zeros(0), rule)
+    first = second = np.zeros(len(plain.weights))
+    met, ones = np.zeros_like(learner.met), np.zeros_like(learner.ones)
+    for step, (who, slots, bit) in enumerate(mixing.Bits(tokens_, state, rule).steps(), 1):
+        x, place, gate = plain.inputs(slots)
+        for d in range(len(bit)):  # the most specific predictor that has met its context, and how often
+            known = [(j, table[s] & 7) for j, s in enumerate(slots[:, d]) if table[s] & 7]
+            j, level = known[-1] if known else (len(mixing.CONTEXTS) - 1, 0)
+            assert gate[d] == j * mixing.LEVELS + level
+        odds, weight = plain.odds(x, place), n[who] / 2.0
+        for cell, w, b in zip(gate * 64 + ((odds + 16) * 2).astype(int), weight, bit):
+            met[cell] += w
+            ones[cell] += w * b
+        grad = np.zeros(len(plain.weights))
+        np.add.at(grad, place, (1 / (1 + np.exp(-odds)) - bit) * weight / len(bit) * x)
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        move = (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+        plain.weights = (plain.weights - rule.rate / (1 + step / 2000) * move).astype(np.float32)
+    learner.follow(tokens_, state, n)
+    assert np.allclose(learner.met, met) and np.allclose(learner.ones, ones)
+    assert np.abs(learner.mixer.weights - plain.weights).max() < 1e-3
