@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loglathe.llm import bpe, html, mixing, neardup, neighbours, packing, quality, repeats, toxicity, winnow
+from loglathe.llm import bpe, components, html, mixing, neardup, neighbours, packing, quality, repeats, toxicity, winnow
 from loglathe.llm.words import shingle_sets, words
 
 VOCABULARY = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnopq"]
@@ -726,3 +726,22 @@ def test_mixing_steps_equal_a_plain_optimiser():
     learner.follow(tokens_, state, n)
     assert np.allclose(learner.met, met) and np.allclose(learner.ones, ones)
     assert np.abs(learner.mixer.weights - plain.weights).max() < 1e-3
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    rng, made = random.Random(5), []
+    real = components.stage
+    monkeypatch.setattr(components, "stage", lambda *a: made.append(a) or real(*a))
+    stars = [(10 * c + k, 10 * c) for c in range(4) for k in range(1, 5)]
+    found = components.components(spark.createDataFrame(stars, "a long, b long"), "a", "b")
+    assert sorted(map(tuple, found.collect())) == sorted([(a, b) for a, b in stars] + [(10 * c, 10 * c) for c in range(4)])
+    assert len(made) == 1  # nothing but the links themselves
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(7, None), (5, 5)]
+    least = {i: i for link in links if None not in link and link[0] != link[1] for i in link}
+    for _ in range(40):
+        for a, b in links:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert len(found) == len(least) and dict(map(tuple, found)) == least
+    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
