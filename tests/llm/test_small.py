@@ -745,3 +745,16 @@ def test_components_stop_at_stars(spark, monkeypatch):
     found = components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
     assert len(found) == len(least) and dict(map(tuple, found)) == least
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_names_of_tokens_without_a_step_for_each():
+    texts = pa.array(["Ab  cd ab", None, "", "é" * 40 + " x", "cd"])
+    ((_, _, found),) = words(texts)
+    hashes, _, row = mixing.tokens(found)
+    want = [b"ab", b"cd", b"ab", b"", b"", b"", ("é" * 40).encode(), b"x", b"", b"cd", b""]
+    for one in (np.arange(len(want)), np.array([9, 0, 3, 7]), np.array([3, 10]), np.zeros(0, np.int64)):
+        assert mixing._named(found, hashes, row, one).to_pylist() == [want[i] for i in one]
+    key = np.array([5, 9, 5, 9, 9, 7], np.uint64) << np.uint64(60)
+    found = mixing._met([key[:3], key[3:]], [key[:3] + np.uint64(1), key[3:] + np.uint64(1)], 2).to_pydict()
+    names = [(int(k) + 1).to_bytes(8, "little") for k in np.array(found["hash"], np.int64).view(np.uint64)]
+    assert found["word"] == names and sorted(found["n"]) == [2, 3] and set(found["state"]) == {-2}
