@@ -747,6 +747,16 @@ def test_components_stop_at_stars(spark, monkeypatch):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_a_round_of_components_reads_its_links_four_times(spark, monkeypatch):
+    plans, real = [], components.stage
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    monkeypatch.setattr(components, "stage", lambda df, *a: plans.append(read(df)) or real(df, *a))
+    links = [(i, i + 1) for i in range(9)] + [(20 + i, 20 + j) for i in range(5) for j in range(i)] + [(3, 3), (1, 0), (None, 2)]
+    found = components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, found)) == [(i, 0) for i in range(10)] + [(20 + i, 20) for i in range(5)]
+    assert len(plans) > 1 and max(plans) <= 4  # the links themselves, then rounds
+
+
 def test_names_of_tokens_without_a_step_for_each():
     texts = pa.array(["Ab  cd ab", None, "", "é" * 40 + " x", "cd"])
     ((_, _, found),) = words(texts)
